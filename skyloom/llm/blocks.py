@@ -141,8 +141,9 @@ def merge_cells(fragments_: DataFrame) -> DataFrame:
 def merge_pairs(fragments_: DataFrame, rule: str) -> DataFrame:
     """Exact keys (96 bits) of all blocks -> for each block those of its keys that the rule marks.
 
-    `later`: another block with a smaller number has the key, too. `shared`: another block has it.
-    Each block sends a key once.
+    `later`: another block with a smaller number has the key, too. `shared`: the key occurs again, in another block or
+    because its block sent it twice. `asked`: it occurs again, and one of the occurrences has the low bit of its second
+    part set, which is no part of the key then.
     """
 
     def merge(table: pa.Table) -> pa.Table:
@@ -151,10 +152,14 @@ def merge_pairs(fragments_: DataFrame, rule: str) -> DataFrame:
         owner = np.repeat(np.arange(len(rows)), [len(k) for k, _ in parts])
         blocks = np.array([b for b, _, _ in rows], np.int64)[owner]
         keys, more = np.concatenate([k for k, _ in parts]), np.concatenate([m for _, m in parts])
-        order = np.lexsort((blocks, more, keys))
-        k, m = keys[order], more[order]
+        order = np.lexsort((blocks, more, keys)) if rule == "later" else np.lexsort((more, keys))
+        k, m = keys[order], more[order] >> np.uint32(rule == "asked")
         same = np.concatenate([[False], (k[1:] == k[:-1]) & (m[1:] == m[:-1])])
-        if rule == "shared":
+        if rule == "asked":  # by key: the sort has the low bit last
+            group = np.cumsum(~same) - 1
+            bits = np.bincount(group, weights=more[order] & np.uint32(1))
+            same = (bits[group] > 0) & (np.bincount(group)[group] > 1)
+        elif rule == "shared":
             same[:-1] |= same[1:]
         marked = np.zeros(len(keys), bool)
         marked[order] = same

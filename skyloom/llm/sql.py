@@ -24,5 +24,22 @@ kept AS (
 SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept USING (doc_id)
+""",
+    "op6_suffix_dedup": r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT doc_id, s, md5(b[s:s + 399]) AS k
+        FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS s FROM b WHERE octet_length(b) >= 400)),
+hit AS (SELECT doc_id, s FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING count(*) > 1)),
+run AS (SELECT doc_id, s, CASE WHEN s <= 400 + lag(s) OVER (PARTITION BY doc_id ORDER BY s) THEN 0 ELSE 1 END AS new FROM hit),
+span AS (SELECT doc_id, min(s) AS a, max(s) + 399 AS z
+         FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM run) GROUP BY doc_id, g),
+piece AS (SELECT doc_id, a, b.b[coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 : a - 1] AS kept, z - a + 1 AS n
+          FROM span JOIN b USING (doc_id)),
+agg AS (SELECT doc_id, sum(n) AS n_removed, count(*) AS n_spans, string_agg(hex(kept), '' ORDER BY a) AS kept FROM piece GROUP BY doc_id),
+tail AS (SELECT doc_id, max(z) AS z FROM span GROUP BY doc_id)
+SELECT b.doc_id, octet_length(b.b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || hex(b.b[coalesce(z, 0) + 1 : octet_length(b.b)]))) AS kept_sha256
+FROM b LEFT JOIN agg USING (doc_id) LEFT JOIN tail USING (doc_id)
 """,
 }
