@@ -200,7 +200,7 @@ def fingerprint_links(distinct: DataFrame, n: int, distance: int = MAX_DISTANCE)
                 which, key = golay_keys(fp)
                 order = np.argsort(key)
                 which, key = which[order], key[order]
-                t = B.fragments(0, slices, key, lambda a, b, key=key, fp=fp, which=which: (b - a).to_bytes(4, "little") + fp[which[a:b]].tobytes() + B.pack_sorted(key[a:b]))
+                t = B.fragments(0, slices, key, lambda a, b, key=key, fp=fp, which=which: int(b - a).to_bytes(4, "little") + fp[which[a:b]].tobytes() + B.pack_sorted(key[a:b]))
                 yield from t.to_batches()
 
     def verify(table: pa.Table) -> pa.Table:
