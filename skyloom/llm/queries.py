@@ -23,6 +23,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(_table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skyloom.llm.licenses import find_licenses
+
+    return find_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyloom.llm.imatch import compare_with_edits
 
