@@ -8,12 +8,14 @@ There is no shuffle; what the driver sums up and broadcasts is one row per input
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,57 +24,130 @@ from skyloom.llm.frames import written
 
 END = 2
 LENGTH = 4096
-GROUP_BYTES = 2 << 20
-CACHE_WORDS = 400_000
-"""Words whose ids a worker keeps; beyond that it starts anew. The ids don't depend on it."""
+GROUP_BYTES = 12 << 20
+"""Bytes of text that a worker takes at once."""
+CACHE_WORDS = 300_000
+"""Once a worker knows the ids of so many words, it starts a new generation and keeps one older. The ids don't depend
+on it."""
 
-_STATE: dict = {}
 
+class WordIds:
+    """The ids of words between ASCII white space, for a tokenizer that drops white space.
 
-def _tokenizer(path: str):
-    if _STATE.get("path") != path:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # a text that contains the string of a special token is ordinary text
-        _STATE.update(path=path, tokenizer=t, words={}, dtype="<u2" if t.get_vocab_size() <= 1 << 16 else "<u4")
-    return _STATE["tokenizer"], _STATE["words"], _STATE["dtype"]
-
-
-def token_bytes(texts: list[bytes | None], path: str, end: int = END) -> tuple[list[bytes], int]:
-    """The ids of each text, and then `end`, as packed little-endian integers; and the bytes of an integer.
-
-    The tokenizer drops white space and never lets a token span it, so a text's ids are those of its words between
-    ASCII white space, and each different word is encoded once. A word of any length is encoded whole.
+    A pre-tokenizer that keeps only what its pattern matches, none of it white space, never lets a token span two words,
+    so each different word is encoded once. New words are encoded together in long strings by the tokenizer's model;
+    words with control characters or with characters beyond Latin-1, whose normal forms are another matter, go through the whole tokenizer.
     """
-    tokenizer, known, dtype = _tokenizer(path)
-    split = [(t or b"").split() for t in texts]
-    new = list({w for words in split for w in words if w not in known})
-    if len(known) + len(new) > CACHE_WORDS:
-        known.clear()
-        new = list({w for words in split for w in words})
-    for i in range(0, len(new), 5000):
-        part = new[i : i + 5000]
-        found = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-        known.update((w, np.array(e.ids, dtype).tobytes()) for w, e in zip(part, found, strict=True))
-    last = np.array([end], dtype).tobytes()
-    return [b"".join(map(known.__getitem__, words)) + last for words in split], len(last)
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        kinds = [n["type"] for n in (config["normalizer"] or {}).get("normalizers", [])]
+        pre = (config["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        suffix = config["model"].get("end_of_word_suffix")
+        if kinds != ["NFC", "Replace", "Lowercase"] or [p.get("type") for p in pre] != ["Split", "ByteLevel"] or not pre[0]["invert"] or not suffix:
+            raise ValueError("word by word, only a lower-casing tokenizer that drops white space and marks the ends of words can be used")
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True  # a text that contains the string of a special token is ordinary text
+        self.model = Tokenizer(self.whole.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.pieces = regex.compile(pre[0]["pattern"]["Regex"]).findall
+        size = self.whole.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for t, i in self.whole.get_vocab().items() if t.endswith(suffix)]] = True
+        # byte-level alphabet: visible Latin-1 characters stand for themselves, the other bytes for U+0100 and up
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> None:
+        """Makes new words known."""
+        counts, strings, plain = [], [], []
+        for w in words:
+            if w.isascii() and w.isprintable():
+                pieces = [w] if w.isalpha() else self.pieces(w)
+                strings += pieces
+            elif max(w) <= "\xff" and w.isprintable():
+                pieces = self.pieces(w.lower())
+                strings += [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in pieces]
+            else:
+                self.known[w] = np.array(self.whole.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
+                continue
+            plain.append(w)
+            counts.append(len(pieces))
+        ids = [np.empty(0, np.int64)]
+        for i in range(0, len(strings), 4000):
+            ids.append(np.array(self.model.encode(" ".join(strings[i : i + 4000]), add_special_tokens=False).ids, np.int64))
+        flat = np.concatenate(ids)
+        after = np.concatenate([[0], np.flatnonzero(self.ends[flat]) + 1])
+        if len(after) != len(strings) + 1:
+            raise ValueError("the tokenizer's model doesn't mark the end of each word")
+        bounds = (after[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])] * self.dtype.itemsize).tolist()
+        packed = flat.astype(self.dtype).tobytes()
+        self.known.update((w, packed[a:b]) for w, a, b in zip(plain, bounds[:-1], bounds[1:]))
+
+    def encode(self, texts: pa.Array, end: int) -> list[bytes]:
+        """The ids of each text, and then `end`, as packed little-endian integers."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.known) >= CACHE_WORDS:
+            self.older, self.known = self.known, {"": b""}
+        each = list(map(self.known.get, words))
+        if missing := [i for i, ids in enumerate(each) if ids is None]:
+            new = []
+            for i in missing:
+                if (ids := self.older.get(words[i])) is not None:
+                    self.known[words[i]] = ids
+                else:
+                    new.append(words[i])
+            self._encode(new)
+            for i in missing:
+                each[i] = self.known[words[i]]
+        flat = np.frombuffer(b"".join(each), self.dtype)
+        size = np.fromiter(map(len, each), np.int64, len(each)) // self.dtype.itemsize
+        first = np.cumsum(size) - size
+        word, offsets = coded.indices.to_numpy(), lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        last, out, i = np.array([end], self.dtype).tobytes(), [], 0
+        while i < len(texts):  # documents of about a million words at once
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 19), "right")) - 1)
+            own = word[offsets[i] : offsets[j]]
+            n = size[own]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            ids = flat[np.repeat(first[own] - ends[:-1], n) + np.arange(ends[-1])]
+            cut = ends[offsets[i : j + 1] - offsets[i]].tolist()
+            out += [ids[a:b].tobytes() + last for a, b in zip(cut[:-1], cut[1:])]
+            i = j
+        return out
+
+
+_LOADED: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """A worker's own copy, kept between batches and tasks."""
+    if path not in _LOADED:
+        _LOADED[path] = WordIds(path)
+    return _LOADED[path]
 
 
 def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
     """(doc_id, part, before, n, ids): ids packed; `before` counts the tokens of the partition's rows before."""
 
     def of(batches):
-        part, before = TaskContext.get().partitionId(), 0
+        part, before, tokenizer = TaskContext.get().partitionId(), 0, word_ids(path)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
+            ids, texts = batch.column(0), batch.column(1)
             sizes, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
             while at < len(texts):
-                done = sizes[at - 1] if at else 0
-                stop = max(at + 1, int(np.searchsorted(sizes, done + GROUP_BYTES)))
-                packed, width = token_bytes(texts[at:stop].to_pylist(), path, end)
-                n = np.array([len(p) // width for p in packed], np.int64)
+                stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + GROUP_BYTES)))
+                packed = tokenizer.encode(texts[at:stop], end)
+                n = np.fromiter(map(len, packed), np.int64, len(packed)) // tokenizer.dtype.itemsize
                 start = before + np.cumsum(n) - n
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays([ids[at:stop], pa.array(np.full(len(n), part, np.int32)), pa.array(start), pa.array(n), pa.array(packed, pa.binary())], ["doc_id", "part", "before", "n", "ids"])
