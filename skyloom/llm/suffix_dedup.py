@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from skyloom.llm import blocks as B
 
@@ -123,16 +124,17 @@ def _kind(back: pa.Table, kind: int) -> pa.Table:
     return back.filter(pa.array(np.asarray(back["slice"]) // KIND == kind, pa.bool_())) if back.num_rows else back
 
 
-def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, with_text: bool = False) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, with_text: bool = False, keep: list[str] | None = None) -> DataFrame:
     """Removes each byte (UTF-8) that a `length`-byte string covers which also starts anywhere else, in the same text or
     in another. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text (bytes of a
-    character that was cut are left out of it).
+    character that was cut are left out of it) and the columns in `keep`.
 
     Null texts count as empty; texts shorter than `length` keep every byte. Repeated rows are separate texts, so long
     ones remove each other whole. Empty tables give empty results; other columns are not read. Trigger-free stretches
     of any length are settled by step 3, start by start.
     """
-    base = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    keep = [c for c in keep or [] if c not in (doc_id, text)]
+    base = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), *[docs[c] for c in keep])
     blocked, _, size = B.with_block(base, "doc_id", "text")
     expected = max(1.0, size / 2**PHRASE_BITS)
     bits, slices = max(20, int(expected * WIDTH).bit_length()), B.slices_for(expected)
@@ -229,7 +231,7 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
             if with_text:
                 kept_text.append(kept.decode("utf-8", "ignore"))
         cols = {"doc_id": pa.array(p.ids, pa.int64())} | {k: pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items()}
-        return pa.table(cols | ({"kept_text": pa.array(kept_text, pa.string())} if with_text else {}))
+        return pa.table(cols | ({"kept_text": pa.array(kept_text, pa.string())} if with_text else {}) | {c: table[c] for c in keep})
 
     by_block = blocked.groupBy("block")
     dictionary = B.merge_cells(by_block.applyInArrow(sketch, B.FRAGMENT))
@@ -237,5 +239,7 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
     asked = B.merge_pairs(by_block.cogroup(_union(dictionary, ordered).groupBy("block")).applyInArrow(runs, B.FRAGMENT), "asked")
     single = B.merge_pairs(by_block.cogroup(_union(dictionary, ordered, asked).groupBy("block")).applyInArrow(offsets, B.FRAGMENT), "shared")
     answers = _union(dictionary, ordered, asked, single)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else "")
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else ""))
+    for c in keep:
+        schema = schema.add(base.schema[c])
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(remove, schema)
