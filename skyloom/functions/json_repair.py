@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 _NEXT = re.compile(r"[ \t\r\n]*(.?)", re.S)
@@ -50,7 +51,7 @@ def extract_json(text: str, repair: bool = False) -> dict:
         raise
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_object(s: pd.Series) -> pd.Series:
     """The object in each text as JSON, repaired if need be; null where there is none. Read it with from_json."""
 

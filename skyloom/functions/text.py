@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from skyloom.lexicon import ENTITIES, STOPWORDS
 
@@ -43,7 +44,7 @@ def token_set(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
 
     def of(tokens: Column) -> Column:
         cjk = F.filter(tokens, lambda t: t.rlike(f"^[{CJK}]$"))
-        pairs = F.zip_with(F.slice(cjk, 1, F.greatest(F.size(cjk) - 1, F.lit(0))), F.slice(cjk, 2, F.greatest(F.size(cjk) - 1, F.lit(0))), F.concat)
+        pairs = F.zip_with(F.slice(cjk, 1, F.greatest(F.size(cjk) - 1, F.lit(0))), F.slice(cjk, 2, F.greatest(F.size(cjk) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
         return F.array_distinct(F.concat(tokens, pairs))
 
     return F.element_at(F.transform(F.array(tokenize(text, stopwords)), of), 1)
@@ -98,7 +99,7 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """Character references decoded."""
     return s.map(lambda x: None if x is None else html.unescape(x))
@@ -118,7 +119,7 @@ def normalized(s: str | None) -> str:
     return " ".join(unicodedata.normalize("NFKC", s or "").translate(_PUNCTUATION).split()).casefold().strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_text(s: pd.Series) -> pd.Series:
     return s.map(normalized)
 

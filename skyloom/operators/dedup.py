@@ -12,6 +12,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType
 
 from skyloom.operators.relational import first_per_key
 
@@ -23,7 +24,7 @@ def similarity(earlier: str, later: str) -> float:
     return difflib.SequenceMatcher(None, earlier, later).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def title_similarity(earlier: pd.Series, later: pd.Series) -> pd.Series:
     return pd.Series([similarity((a or "").lower(), (b or "").lower()) for a, b in zip(earlier, later)], dtype="float64")
 
@@ -46,7 +47,7 @@ def alike_pairs(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def _alike(threshold: float):
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(BooleanType())
     def alike(earlier: pd.Series, later: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(earlier, later):
