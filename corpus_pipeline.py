@@ -29,8 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The columns stay as they are; extra columns go. Repeated rows are judged alike, so all of them stay or go.
     """
     model = fit(docs)
-    found = identify(docs.select(*COLUMNS).withColumnRenamed("text", "body"), model, "doc_id", "body", ["doc_id", "body", "lang", "source", "n_chars"])
-    return found.where(~F.col("rejected")).withColumnRenamed("body", "text").select(*COLUMNS)
+    return identify(docs.select(*COLUMNS), model).where(~F.col("rejected")).select(*COLUMNS)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

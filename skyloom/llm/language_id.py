@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 DIMENSIONS = 1 << 13
 GRAMS = (2, 3, 4)
@@ -150,27 +151,26 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred, score (cosine, 0 to 1) and rejected to doc_id and the columns in `keep`, from the whole text alone.
+def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with lang_pred, score (cosine, 0 to 1) and rejected, from the whole text alone.
 
     `und`, score 0 and rejected for a null or empty text, one without a letter, and for all where nothing was learned.
     Repeated rows get the same answer, ties between centroids go to the first in the order of language names; empty
-    tables give empty results; columns of these names in docs are not read.
+    tables give empty results; columns of these names in docs are replaced. Only the texts go to Python.
     """
-    keep = [c for c in keep or [] if c not in ("lang_pred", "score", "rejected")]
-    base = docs.select(docs[text].cast("string").alias("_text"), docs[doc_id].cast("long").alias("doc_id"), *[docs[c] for c in keep if c != doc_id])
 
-    def of(batches):
-        for batch in batches:
-            told, score, rejected = model.classify(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(told, pa.string()), pa.array(score), pa.array(rejected)], [*batch.schema.names[1:], "lang_pred", "score", "rejected"])
+    @F.arrow_udf(StructType().add("lang_pred", "string").add("score", "double").add("rejected", "boolean"))
+    def told(texts: pa.Array) -> pa.Array:
+        parts = [model.classify(texts[i : i + 256].to_pylist()) for i in range(0, len(texts), 256)]
+        names, score, rejected = [n for p in parts for n in p[0]], np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], ["lang_pred", "score", "rejected"])
 
-    schema = base.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return base.mapInArrow(of, schema)
+    found = docs.withColumn("_told", told(F.col(text).cast("string")))
+    return found.withColumns({c: F.col(f"_told.{c}") for c in ("lang_pred", "score", "rejected")}).drop("_told")
 
 
 def fit_and_identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Fits on the rows that aren't held out and identifies all rows: doc_id, held_out, lang_pred, score, rejected."""
     model = fit(docs.where(docs[doc_id].isNotNull() & ~held_out(docs[doc_id])), doc_id, text, lang)
-    found = identify(docs, model, doc_id, text)
-    return found.select("doc_id", held_out(found["doc_id"]).alias("held_out"), "lang_pred", "score", "rejected")
+    ids = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    return identify(ids, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
