@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.llm.frames import trimmed
+
 BLOCK_BYTES = 6 << 20
 """Bytes of text a block aims at; one document larger than this makes a block of its own size."""
 
@@ -135,7 +137,7 @@ def merge_cells(fragments_: DataFrame) -> DataFrame:
                 out.append((block, slice_, pack_sorted(hit)))
         return _table(out)
 
-    return fragments_.groupBy("slice").applyInArrow(merge, FRAGMENT)
+    return fragments_.groupBy("slice").applyInArrow(trimmed(merge), FRAGMENT)
 
 
 def merge_pairs(fragments_: DataFrame, rule: str) -> DataFrame:
@@ -171,7 +173,7 @@ def merge_pairs(fragments_: DataFrame, rule: str) -> DataFrame:
                 out.append((block, slice_, pack_pairs(parts[i][0][hit], parts[i][1][hit])))
         return _table(out)
 
-    return fragments_.groupBy("slice").applyInArrow(merge, FRAGMENT)
+    return fragments_.groupBy("slice").applyInArrow(trimmed(merge), FRAGMENT)
 
 
 def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,3 +38,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def trimmed(function):
+    """function, a worker's task of one group, giving the memory that it freed back to the system when it is done: workers
+    live on between stages, and what one keeps for later another lacks."""
+
+    def one(table):
+        out = function(table)
+        give_back()
+        return out
+
+    def two(left, right):
+        out = function(left, right)
+        give_back()
+        return out
+
+    return one if function.__code__.co_argcount == 1 else two  # Spark reads how many arguments there are
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from skyloom.llm.frames import give_back
+
 DIMENSIONS = 1 << 13
 GRAMS = (2, 3, 4)
 CENTROIDS = 4
@@ -163,6 +165,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def told(texts: pa.Array) -> pa.Array:
         parts = [model.classify(texts[i : i + 256].to_pylist()) for i in range(0, len(texts), 256)]
         names, score, rejected = [n for p in parts for n in p[0]], np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        give_back()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], ["lang_pred", "score", "rejected"])
 
     found = docs.withColumn("_told", told(F.col(text).cast("string")))

@@ -20,13 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.frames import written
+from skyloom.llm.frames import give_back, written
 
 END = 2
 LENGTH = 4096
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 8 << 20
 """Bytes of text that a worker takes at once."""
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 """Once a worker knows the ids of so many words, it starts a new generation and keeps one older. The ids don't depend
 on it."""
 
@@ -152,6 +152,7 @@ def tokenized(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays([ids[at:stop], pa.array(np.full(len(n), part, np.int32)), pa.array(start), pa.array(n), pa.array(packed, pa.binary())], ["doc_id", "part", "before", "n", "ids"])
                 at = stop
+                give_back()
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(of, "doc_id long, part int, before long, n long, ids binary")
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from skyloom.llm import blocks as B
+from skyloom.llm.frames import trimmed
 
 WIDTH = 32
 """Sketch cells per expected window: a window that occurs once is estimated repeated with a chance of about 1/32."""
@@ -152,8 +153,8 @@ def remove_repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str =
         return pa.table(out | ({"kept_text": pa.array(kept, pa.string())} if with_text else {}))
 
     by_block = blocked.groupBy("block")
-    flagged = B.merge_cells(by_block.applyInArrow(sketch, B.FRAGMENT))
-    sent = by_block.cogroup(flagged.groupBy("block")).applyInArrow(candidates, B.FRAGMENT)
+    flagged = B.merge_cells(by_block.applyInArrow(trimmed(sketch), B.FRAGMENT))
+    sent = by_block.cogroup(flagged.groupBy("block")).applyInArrow(trimmed(candidates), B.FRAGMENT)
     later = B.merge_pairs(sent, "later")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return by_block.cogroup(later.groupBy("block")).applyInArrow(remove, schema)
+    return by_block.cogroup(later.groupBy("block")).applyInArrow(trimmed(remove), schema)

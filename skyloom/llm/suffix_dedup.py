@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from skyloom.llm import blocks as B
+from skyloom.llm.frames import trimmed
 
 TRIGGER = 8
 """Bytes of a trigger."""
@@ -234,12 +235,12 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
         return pa.table(cols | ({"kept_text": pa.array(kept_text, pa.string())} if with_text else {}) | {c: table[c] for c in keep})
 
     by_block = blocked.groupBy("block")
-    dictionary = B.merge_cells(by_block.applyInArrow(sketch, B.FRAGMENT))
-    ordered = B.merge_pairs(by_block.cogroup(_union(dictionary).groupBy("block")).applyInArrow(parse_order, B.FRAGMENT), "shared")
-    asked = B.merge_pairs(by_block.cogroup(_union(dictionary, ordered).groupBy("block")).applyInArrow(runs, B.FRAGMENT), "asked")
-    single = B.merge_pairs(by_block.cogroup(_union(dictionary, ordered, asked).groupBy("block")).applyInArrow(offsets, B.FRAGMENT), "shared")
+    dictionary = B.merge_cells(by_block.applyInArrow(trimmed(sketch), B.FRAGMENT))
+    ordered = B.merge_pairs(by_block.cogroup(_union(dictionary).groupBy("block")).applyInArrow(trimmed(parse_order), B.FRAGMENT), "shared")
+    asked = B.merge_pairs(by_block.cogroup(_union(dictionary, ordered).groupBy("block")).applyInArrow(trimmed(runs), B.FRAGMENT), "asked")
+    single = B.merge_pairs(by_block.cogroup(_union(dictionary, ordered, asked).groupBy("block")).applyInArrow(trimmed(offsets), B.FRAGMENT), "shared")
     answers = _union(dictionary, ordered, asked, single)
     schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else ""))
     for c in keep:
         schema = schema.add(base.schema[c])
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(remove, schema)
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(trimmed(remove), schema)
