@@ -24,7 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.llm.frames import trimmed
+
 SHARD_BYTES = 4 << 20
+BROADCAST_HOSTS = 100_000
 DEPTH = 8
 MAIN_SHARE, MAIN_PAGES = 0.6, 12
 OTHER_SHARE, OTHER_PAGES = 0.2, 3
@@ -199,27 +202,38 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     most; cut-off markup is read as far as it goes. Empty tables give empty results; other columns are not read.
     """
     host = F.lower(F.coalesce(F.regexp_extract(pages[url], r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    base = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), F.coalesce(pages[html_column].cast("string"), F.lit("")).alias("html"), host.alias("host"))
+    base = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), host.alias("host"), F.coalesce(pages[html_column].cast("string"), F.lit("")).alias("html"))
     sizes = base.groupBy("host").agg(F.sum(F.octet_length("html")).alias("b"))
     total = int(sizes.agg(F.sum("b")).first()[0] or 0)
-    # at most total / SHARD_BYTES hosts; Spark broadcasts them if they are few, and else joins by host, splitting skew
+    # at most total / SHARD_BYTES hosts are large: while that is few they are broadcast, else they are joined
     large = sizes.where(F.col("b") > SHARD_BYTES).select("host", F.ceil(F.col("b") / SHARD_BYTES).cast("int").alias("parts"))
     few = max(1, 2 * total // SHARD_BYTES)
-    placed = base.join(large, "host", "left")
+
+    def parse(batches):
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                part = batch.slice(a, 256)
+                found = [blocks(p) for p in part.column(3).to_pylist()]
+                zones = pa.array([bytes(z for z, _ in own) for own in found], pa.binary())
+                lines = pa.array(["\n".join(line for _, line in own) for own in found], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], zones, lines], ["page_id", "url", "host", "zones", "lines"])
+
+    parsed = base.mapInArrow(parse, "page_id long, url string, host string, zones binary, lines string")
+    placed = parsed.join(F.broadcast(large) if total // SHARD_BYTES <= BROADCAST_HOSTS else large, "host", "left")
     salt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1)))
     placed = placed.withColumn("shard", F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("host"), F.lit(few))).otherwise(F.xxhash64("host", salt)))
 
     def extract(table: pa.Table) -> pa.Table:
-        hosts, sources = table["host"].to_pylist(), table["html"].to_pylist()
-        parsed = [blocks(s) for s in sources]
+        hosts = table["host"].to_pylist()
+        pages_ = [list(zip(z, t.split("\n"))) for z, t in zip(table["zones"].to_pylist(), table["lines"].to_pylist(), strict=True)]
         by_host: dict[str, list[int]] = {}
         for i, h in enumerate(hosts):
             by_host.setdefault(h, []).append(i)
         texts = [""] * len(hosts)
         for own in by_host.values():
-            for i, gone in zip(own, shared_blocks([parsed[i] for i in own]), strict=True):
-                has_main = any(z == MAIN for z, _ in parsed[i])
-                texts[i] = "\n".join(line for (z, line), away in zip(parsed[i], gone, strict=True) if not away and (z == MAIN or not has_main))
+            for i, gone in zip(own, shared_blocks([pages_[i] for i in own]), strict=True):
+                has_main = any(z == MAIN for z, _ in pages_[i])
+                texts[i] = "\n".join(line for (z, line), away in zip(pages_[i], gone, strict=True) if not away and (z == MAIN or not has_main))
         return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
 
-    return placed.select("page_id", "url", "html", "host", "shard").groupBy("shard").applyInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return placed.select("page_id", "url", "zones", "lines", "host", "shard").groupBy("shard").applyInArrow(trimmed(extract), "page_id long, url string, text string, n_chars long")
