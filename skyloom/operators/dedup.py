@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
 from skyloom.operators.relational import first_per_key
+from skyloom.session import cut
 
 THRESHOLD = 0.72
 
@@ -62,10 +63,8 @@ def greedy_kept(rows: DataFrame, pairs: DataFrame, key: str = "seq") -> DataFram
     """The keys that a pass in order keeps: those without a kept earlier partner in pairs (earlier, later).
 
     In each round a row without undecided or kept earlier partners is kept, and one with a kept partner is dropped; there
-    are as many rounds as the longest chain of decisions. Rounds are cut by checkpoints where a folder is set.
+    are as many rounds as the longest chain of decisions, each cut by a checkpoint.
     """
-    spark = rows.sparkSession
-    cut = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
     open_pairs = cut(pairs)
     dropped = rows.select(F.col(key).alias("later")).limit(0)
     while True:

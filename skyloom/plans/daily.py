@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from skyloom.operators import cluster, dedup, lineage, screen, summarize, verify
 from skyloom.plans import backends, brief
 from skyloom.plans.store import Store
+from skyloom.session import cut
 from skyloom.sources import feeds
 
 
@@ -31,10 +32,10 @@ class Options:
 
 def ingest(store: Store, collected: DataFrame) -> tuple[int, int, DataFrame]:
     """Deduplicates and stores articles (with seq, their arrival): (how many came, how many the batch repeats, those stored)."""
-    collected = collected.persist()
-    kept = dedup.dedup_batch(collected).persist()
+    collected = cut(collected)
+    kept = cut(dedup.dedup_batch(collected))
     total = collected.count()
-    return total, total - kept.count(), store.insert_articles(kept, "seq").persist()
+    return total, total - kept.count(), cut(store.insert_articles(kept, "seq"))
 
 
 def arrivals(articles: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -50,7 +51,7 @@ def arrivals(articles: DataFrame, sources: DataFrame | None = None) -> DataFrame
 def fetch(store: Store, sources: DataFrame, now: dt.datetime, fetch_fn=feeds.fetch) -> dict:
     """Collects and stores only."""
     store.upsert_sources(sources.drop("place"), now)
-    items = feeds.collect(sources, fetch_fn).persist()
+    items = cut(feeds.collect(sources, fetch_fn))
     total, _, stored = ingest(store, arrivals(feeds.to_articles(items, now), sources if "place" in sources.columns else None))
     errors = [r.asDict() for r in items.where("error is not null").select("source_id", "error").collect()]
     return {"fetched": total, "new": stored.count(), "errors": errors}
@@ -71,13 +72,13 @@ def run(store: Store, sources: DataFrame, now: dt.datetime, out_dir: str, option
 
 def _run(store, run_id, sources, now, out_dir, options, injected, fetch_fn, backend) -> tuple[str, dict]:
     spark = store.spark
-    sources = sources.persist()
+    sources = cut(sources)
     store.upsert_sources(sources, now)
     name = backend.name if backend else "rule"
     steps: list[tuple[str, str, str, str]] = []
     errors: list[dict] = []
     if injected is None:
-        items = feeds.collect(sources, fetch_fn).persist()
+        items = cut(feeds.collect(sources, fetch_fn))
         errors = [r.asDict() for r in items.where("error is not null").select("source_id", "error").collect()]
         steps += [("collector", e["source_id"], "", json.dumps(e, ensure_ascii=False)) for e in errors]
         arrived = arrivals(feeds.to_articles(items, now))
@@ -86,23 +87,23 @@ def _run(store, run_id, sources, now, out_dir, options, injected, fetch_fn, back
     total, repeated, stored = ingest(store, arrived)
 
     window = store.articles_since(now, options.hours)
-    window = (stored if window.isEmpty() else window).persist()
-    events = cluster.to_events(window, cluster.cluster_articles(window)).persist()
+    window = cut((stored if window.isEmpty() else window))
+    events = cut(cluster.to_events(window, cluster.cluster_articles(window)))
 
-    members = events.select(F.col("id").alias("event_id"), F.posexplode("article_ids").alias("position", "article_id")).join(window.withColumnRenamed("id", "article_id"), "article_id").persist()
+    members = cut(events.select(F.col("id").alias("event_id"), F.posexplode("article_ids").alias("position", "article_id")).join(window.withColumnRenamed("id", "article_id"), "article_id"))
     cards = events.select("id", "title").join(screen.card_text(members, sources).withColumnRenamed("event_id", "id"), "id", "left")
     screened = screen.screen(cards)
     if backend:
         told = backends.screened(backend, [r.asDict() for r in cards.orderBy("id").collect()])
         screened = spark.createDataFrame(told, "id bigint, relevant boolean, topic string, severity double, reason string") if told else screened
     at = F.lit(now).cast("timestamp")
-    ranked = screen.scored(events, screened, sources, at).orderBy(F.desc("score"), "id").persist()
+    ranked = cut(screen.scored(events, screened, sources, at).orderBy(F.desc("score"), "id"))
     n_events = ranked.count()
-    top = ranked.limit(options.top_n).persist()
+    top = cut(ranked.limit(options.top_n))
 
     weights = sources.select(F.col("id").alias("source_id"), "weight")
     own = members.join(top.select(F.col("id").alias("event_id")), "event_id", "left_semi").join(weights, "source_id", "left")
-    own = own.select("event_id", "position", F.col("article_id").alias("id"), "source_id", "title", F.col("content_text").alias("text"), "url", "lang", "entities", F.coalesce("weight", F.lit(1.0)).alias("weight")).persist()
+    own = cut(own.select("event_id", "position", F.col("article_id").alias("id"), "source_id", "title", F.col("content_text").alias("text"), "url", "lang", "entities", F.coalesce("weight", F.lit(1.0)).alias("weight")))
     drafted = summarize.summarize(top, own)
     if backend:
         drafted = _asked(spark, backend, top, own, drafted, steps)
@@ -110,7 +111,7 @@ def _run(store, run_id, sources, now, out_dir, options, injected, fetch_fn, back
     drafted = drafted.withColumnRenamed("event_id", "cluster_id").join(saved, "cluster_id").withColumn("item_id", F.col("event_id"))
 
     snapshots = window.select("id", "title", "url", "source_id", F.col("content_text").alias("text"))
-    reviewed = verify.review(drafted, snapshots).orderBy(F.desc("score"), "cluster_id").persist()
+    reviewed = cut(verify.review(drafted, snapshots).orderBy(F.desc("score"), "cluster_id"))
     counts = verify.report(reviewed).first().asDict()
     steps.append(("reviewer", f"items:{counts['items']}", json.dumps(counts), ""))
 
@@ -173,21 +174,21 @@ def _asked(spark, backend, top, own, by_rule, steps) -> DataFrame:
 def _trace(store, backend, options, now, saved, top, own, snapshots, steps) -> tuple[list[dict], list[dict]]:
     """Stores and returns the relations of the first events, and the articles they cite from history."""
     at = F.lit(now).cast("timestamp")
-    past = lineage.history(store.table("events"), store.table("event_articles"), store.table("articles"), at, options.trace_days, saved.select(F.col("event_id").alias("id"))).persist()
+    past = cut(lineage.history(store.table("events"), store.table("event_articles"), store.table("articles"), at, options.trace_days, saved.select(F.col("event_id").alias("id"))))
     first = top.orderBy(F.desc("score"), "id").limit(options.trace_n).join(saved, F.col("id") == F.col("cluster_id")).drop("id").withColumnRenamed("event_id", "id")
     row = F.struct("position", "id", "title", "url", "source_id", "text")
     leads = own.groupBy("event_id").agg(
         F.transform(F.slice(F.array_sort(F.collect_list(row)), 1, 2), lambda x: x.dropFields("position")).alias("articles"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("entities", F.array().cast("array<string>")))))).alias("entities"),
     )
-    targets = first.join(leads, F.col("cluster_id") == leads["event_id"]).drop("event_id").persist()
-    recalled = lineage.recall(targets, past, 6, options.trace_days).persist()
+    targets = cut(first.join(leads, F.col("cluster_id") == leads["event_id"]).drop("event_id"))
+    recalled = cut(lineage.recall(targets, past, 6, options.trace_days))
     told = lineage.trace_by_rule(recalled, targets, past)
     if backend:
         told = _told(store.spark, backend, recalled, targets, past, told, steps)
     old = past.select(F.explode_outer("articles").alias("a")).where("a is not null").select("a.*")
-    known = snapshots.unionByName(old.join(snapshots.select("id"), "id", "left_anti").dropDuplicates(["id"]).select(*snapshots.columns)).persist()
-    valid = lineage.validate(told, recalled, targets, past, known).persist()
+    known = cut(snapshots.unionByName(old.join(snapshots.select("id"), "id", "left_anti").dropDuplicates(["id"]).select(*snapshots.columns)))
+    valid = cut(lineage.validate(told, recalled, targets, past, known))
     relations = [r.asDict(recursive=True) for r in valid.orderBy("target_event_id", "rank").collect()]
     if relations:
         store.save_relations(valid, now)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from skyloom.operators import relational
 from skyloom.schemas import FEEDBACK_KINDS, RATINGS, TABLES
+from skyloom.session import cut
 
 
 class Store:
@@ -77,7 +78,7 @@ class Store:
 
     def save_events(self, events: DataFrame, *order: str | Column) -> DataFrame:
         """Stores events with their articles; returns (cluster_id, event_id)."""
-        placed = relational.numbered(events.withColumnRenamed("id", "cluster_id"), self.next_id("events"), *order).persist()
+        placed = cut(relational.numbered(events.withColumnRenamed("id", "cluster_id"), self.next_id("events"), *order))
         counts = placed.withColumn("article_count", F.size("article_ids")).withColumn("source_count", F.size(F.array_distinct("source_ids"))).withColumn("status", F.lit("open"))
         self.append("events", counts)
         self.append("event_articles", placed.select(F.col("id").alias("event_id"), F.explode("article_ids").alias("article_id"), F.lit("origin").alias("relation")).dropDuplicates(["event_id", "article_id"]))
@@ -86,7 +87,7 @@ class Store:
     # --- relations and feedback ---
 
     def save_relations(self, relations: DataFrame, at: dt.datetime) -> int:
-        rows = relational.numbered(relations, self.next_id("event_relations"), "target_event_id", "rank").withColumn("created_at", F.lit(at)).persist()
+        rows = cut(relational.numbered(relations, self.next_id("event_relations"), "target_event_id", "rank").withColumn("created_at", F.lit(at)))
         self.append("event_relations", rows)
         return rows.count()
 
@@ -111,7 +112,7 @@ class Store:
         return self.add("briefs", {"date": date, "kind": kind, "title": title, "body_md": body, "published_at": at})
 
     def save_citations(self, brief_id: int, citations: DataFrame, at: dt.datetime) -> int:
-        rows = relational.numbered(citations, self.next_id("citations"), "item_id", "pos").withColumn("brief_id", F.lit(brief_id)).withColumn("created_at", F.lit(at)).persist()
+        rows = cut(relational.numbered(citations, self.next_id("citations"), "item_id", "pos").withColumn("brief_id", F.lit(brief_id)).withColumn("created_at", F.lit(at)))
         self.append("citations", rows)
         return rows.count()
 
