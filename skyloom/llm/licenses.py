@@ -128,7 +128,7 @@ class Templates:
 def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
     """One row for each notice in each whole text: doc_id, license, start_word, n_words, containment.
 
-    Overlapping spans of one template are one notice. Null and empty texts, and texts of fewer words than a shingle,
+    Occurrences of one template in one window, and spans that overlap, are one notice. Null and empty texts, and texts of fewer words than a shingle,
     have none; nothing depends on other rows, so repeated rows and null ids need no rule; empty tables give empty
     results; other columns are not read. The templates are a small fixed table that goes to each task; there is no shuffle.
     """
