@@ -9,12 +9,6 @@ from skyloom.sources import config
 NOW = dt.datetime(2026, 9, 1, 12)
 
 
-def payload(url, timeout=20, retries=2):
-    if url == "bad":
-        raise OSError("no route")
-    return b"<rss><channel><item><title>US and China talks</title><link>https://a.com/1</link></item></channel></rss>"
-
-
 def test_source_commands(tmp_path, capsys):
     file = str(tmp_path / "s.yaml")
     config.save_sources([config.Source("a", "A", "good")], file)
@@ -28,6 +22,11 @@ def test_source_commands(tmp_path, capsys):
 
 
 def test_fetch_check_stats_feedback(spark, tmp_path, capsys):
+    def payload(url, timeout=20, retries=2):
+        if url == "bad":
+            raise OSError("no route")
+        return b"<rss><channel><item><title>US and China talks</title><link>https://a.com/1</link></item></channel></rss>"
+
     file, store = str(tmp_path / "s.yaml"), str(tmp_path / "db")
     config.save_sources([config.Source("a", "A", "good"), config.Source("b", "B", "bad")], file)
     base = ["--sources", file, "--store", store]
