@@ -12,10 +12,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.frames import shared_dir
+from skyloom.llm.frames import checkpointed, shared_dir
 from skyloom.llm.language_id import fit, identify
 from skyloom.llm.packing import pack
-from skyloom.llm.simhash import simhash_groups
+from skyloom.llm.simhash import BROADCAST_IDS, near_duplicate_groups
 from skyloom.llm.suffix_dedup import remove_repeated_strings
 from skyloom.session import importable
 
@@ -33,11 +33,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one of the smallest id, of each group that SimHash links at four bits or fewer, by
-    five-word shingles. Rows of one id are one document: the one of the smallest text stays. Null ids stay."""
-    groups = simhash_groups(docs, shingle=5)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one document, the one of the smallest id, of each group of near duplicates: a Jaccard similarity of 0.8 or
+    more of five-word shingles, found by SimHash and verified. Null ids stay; rows of one id stay or go together."""
+    groups = near_duplicate_groups(docs)
+    gone = checkpointed(groups.groupBy("doc_id").agg(F.min("component_id").alias("least")).where("doc_id <> least").select("doc_id"))
+    few = gone.count() <= BROADCAST_IDS
+    return docs.select(*COLUMNS).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from skyloom.llm import blocks as B
 from skyloom.llm.components import connected_components
-from skyloom.llm.frames import checkpointed
+from skyloom.llm.frames import checkpointed, trimmed
+from skyloom.llm.substring_dedup import word_hashes
 
 MAX_DISTANCE = 4
 """What the keys guarantee."""
@@ -232,3 +233,139 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     label = grouped.join(least, "root").select("fp", "component_id")
     return own.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- near duplicates by similarity ---
+
+SIMILARITY = 0.8
+SHINGLE = 5
+FINGERPRINTS = 4
+"""Independent fingerprints a text; one of them within four bits makes a candidate, and candidates are verified exactly."""
+PART_SHINGLES = 2_000_000
+"""Shingles of a component that one task compares with as many others at most."""
+BROADCAST_IDS = 1_000_000
+"""Up to so many ids are broadcast (16 bytes each); beyond that tables are joined by id."""
+
+
+def _words(texts: list[bytes | None]) -> list[np.ndarray]:
+    """64-bit hashes of the lower-cased words of each text; short texts are hashed together."""
+    out, group, size = [], [], 0
+    for i, t in enumerate(texts):
+        group.append((t or b"").translate(_LOWER))
+        size += len(group[-1]) + 1
+        if size >= 1 << 20 or i + 1 == len(texts):
+            hashed = word_hashes(b"\n".join(group))
+            counts = [len(g.split()) for g in group] if len(group) > 1 else [len(hashed)]
+            out += np.split(hashed, np.cumsum(counts)[:-1])
+            group, size = [], 0
+    return out
+
+
+def word_fingerprints(words: np.ndarray) -> list[int]:
+    """FINGERPRINTS SimHashes of a text's different words. Each counts once: by their numbers, the few frequent words of a
+    language would make all its texts alike."""
+    own, out = np.unique(words), []
+    for seed in range(FINGERPRINTS):
+        total = np.zeros(64, np.int64)
+        for a in range(0, len(own), 1 << 16):
+            h = B.mix(own[a : a + (1 << 16)] ^ np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & (1 << 64) - 1))
+            total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(total * 2 > len(own), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def shingle_set(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted different shingles; the whole sequence where there are fewer words."""
+    n = max(1, len(words) - shingle + 1) if len(words) else 0
+    at = np.arange(n)
+    return np.unique(B.runs_hash(words, at, np.minimum(at + shingle, len(words)), B.BASE2))
+
+
+def similar_forest(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect all whose sets have the Jaccard similarity; breadth first, so that what one reached isn't
+    compared again."""
+    size = np.array([len(s) for s in sets])
+    left, out = np.arange(len(sets)), []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            bound = np.minimum(size[left], size[x]) >= similarity * np.maximum(size[left], size[x])
+            near = left[bound]
+            if not len(near):
+                continue
+            flat = np.concatenate([sets[i] for i in near])
+            common = np.add.reduceat(B.isin_sorted(flat, sets[x]).astype(np.int64), np.concatenate([[0], np.cumsum(size[near])[:-1]])) if len(flat) else np.zeros(len(near), np.int64)
+            hit = near[common >= similarity * (size[near] + size[x] - common) - 1e-12]
+            if len(hit):
+                out += [(int(ids[x]), int(ids[i])) for i in hit]
+                queue.extend(hit.tolist())
+                left = left[~np.isin(left, hit)]
+    return out
+
+
+def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id): texts link whose sets of `shingle`-word shingles have the Jaccard similarity; component_id
+    is the smallest doc_id that links reach.
+
+    Candidates are texts of which one of FINGERPRINTS SimHashes of their different words lies within four bits (Golay keys);
+    their components are verified by the exact similarity. A-Z are lower-cased, words are those of simhash_groups. Equal
+    texts are one group, and so are all texts without words, null and empty ones included. Rows of one id share its groups; rows without an id get none.
+    Empty tables give empty results; other columns are not read.
+    """
+    base = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+
+    def of(batches):
+        for batch in batches:
+            for a in range(0, len(batch), 1024):
+                part = batch.slice(a, 1024)
+                fps = [word_fingerprints(w) for w in _words(part.column(1).cast(pa.binary()).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *[pa.array([f[k] for f in fps], pa.int64()) for k in range(FINGERPRINTS)]], ["doc_id", "h1", "h2", *[f"f{k}" for k in range(FINGERPRINTS)]])
+
+    columns = ", ".join(f"f{k} long" for k in range(FINGERPRINTS))
+    hashed = base.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    own = checkpointed(hashed.mapInArrow(of, f"doc_id long, h1 long, h2 long, {columns}"))
+    classes = checkpointed(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("cid"), *[F.first(f"f{k}").alias(f"f{k}") for k in range(FINGERPRINTS)]))
+    # candidates: a text and the first text of its fingerprint, and the first texts of linked fingerprints
+    edges = None
+    for k in range(FINGERPRINTS):
+        first = checkpointed(classes.groupBy(F.col(f"f{k}").alias("fp")).agg(F.min("cid").alias("cid")))
+        links = fingerprint_links(first, first.count())
+        same = classes.join(first.withColumnRenamed("cid", "b"), F.col(f"f{k}") == F.col("fp")).where("cid <> b").select(F.col("cid").alias("a"), "b")
+        a, b = first.select(F.col("fp").alias("a"), F.col("cid").alias("ca")), first.select(F.col("fp").alias("b"), F.col("cid").alias("cb"))
+        found = checkpointed(same.unionAll(links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).distinct())
+        edges = found if edges is None else edges.unionAll(found)
+    coarse = checkpointed(connected_components(edges))
+    n_members = coarse.count()
+
+    def by_id(ids: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(ids) if n <= BROADCAST_IDS else ids
+
+    def sets(batches):
+        for batch in batches:
+            for a in range(0, len(batch), 1024):
+                part = batch.slice(a, 1024)
+                found = [shingle_set(w, shingle) for w in _words(part.column(2).cast(pa.binary()).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "root", "n", "shingles"])
+
+    members = base.join(by_id(coarse, n_members), base["doc_id"] == coarse["node"])
+    members = checkpointed(members.select("node", "root", "text").mapInArrow(sets, "node long, root long, n long, shingles binary"))
+    size = members.groupBy("root").agg(F.sum("n").alias("total"))
+    few = max(1, math.ceil((members.agg(F.sum("n")).first()[0] or 0) / PART_SHINGLES))
+    placed = members.join(size, "root").withColumn("parts", F.ceil(F.col("total") / PART_SHINGLES).cast("int"))
+    placed = placed.withColumn("parts", F.greatest("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    single = F.col("parts") == 1
+    placed = placed.select("node", "root", "shingles", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), single.alias("single"), F.when(single, F.pmod(F.xxhash64("root"), F.lit(few))).otherwise(F.col("root")).alias("g"))
+
+    def verify(table: pa.Table) -> pa.Table:
+        node, root, packed = np.asarray(table["node"]), np.asarray(table["root"]), table["shingles"].to_pylist()
+        links: list[tuple[int, int]] = []
+        order = np.lexsort((node, root))
+        for part in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+            links += similar_forest(node[part], [np.frombuffer(packed[i], np.uint64) for i in part], similarity)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    verified = placed.groupBy("g", "single", "lo", "hi").applyInArrow(trimmed(verify), "a long, b long")
+    roots = checkpointed(connected_components(verified))
+    label = classes.join(roots, classes["cid"] == roots["node"], "left").select("h1", "h2", F.coalesce("root", "cid").alias("component_id"))
+    return own.select("doc_id", "h1", "h2").join(label, ["h1", "h2"]).select("doc_id", "component_id")

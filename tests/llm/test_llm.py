@@ -374,3 +374,64 @@ def test_imatch(spark, small_blocks):
     assert all(len(s) == 1 for s in same.values()) and len({min(s) for s in same.values()}) > 30
     one = imatch.compare_with_edits(spark.createDataFrame([(5, "just this one text here")], "doc_id long, text string")).first()
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"just this one te" + b"just th").hexdigest()
+
+
+def test_near_duplicate_groups(spark):
+    rng = random.Random(11)
+    rows = corpus(4)
+    for k in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([60, 300]))]
+        for i in range(5):
+            w = list(base)
+            for _ in range(rng.randrange(1 + len(w) // 60)):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(50)}"
+            rows.append((100 + 10 * k + i, " ".join(w)))
+    rows.append((None, "no id"))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(frame(spark, rows)).collect()}
+    sets = {}
+    for i, t in rows:
+        if i is not None:
+            w = (t or "").lower().encode().split()
+            sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+    texts = {i: t or "" for i, t in rows}
+    near = lambda a, b: texts[a] == texts[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    comp = {i: i for i in sets}
+    while True:
+        new = {i: min(comp[j] for j in sets if near(i, j)) for i in sets}
+        if new == comp:
+            break
+        comp = new
+    linked = [(a, b) for a in sets for b in sets if a < b and near(a, b)]
+    assert set(got) == set(sets) and sum(got[a] == got[b] for a, b in linked) >= 0.9 * len(linked) > 100
+    assert all(comp[i] == comp[got[i]] and got[i] <= i for i in got)  # nothing else is merged
+
+
+def test_similar_forest_connects():
+    sets = [np.sort(np.array(s, np.uint64)) for s in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 6], [9, 10], [], [1, 2, 3, 4, 5, 6, 7], [9, 10])]
+    links = simhash.similar_forest(np.arange(10, 16), sets, 0.8)
+    assert {frozenset(x) for x in links} == {frozenset((10, 11)), frozenset((11, 14)), frozenset((12, 15))}
+
+
+def test_pipeline(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(2)
+    make = lambda n: " ".join("".join(rng.choices(["ka", "ko", "mi", "tu"], k=3)) for _ in range(n))
+    passage = make(120)
+    rows = [(i, make(80) + (" " + passage if i in (3, 5) else ""), "aa", f"s{i % 3}", 1) for i in range(60)]
+    rows += [(100, rows[7][1], "aa", "s", 1), (101, rows[8][1] + " end", "aa", "s", 1), (102, None, None, None, None), (103, "?!", "aa", "s", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.withColumn("extra", df.doc_id).write.parquet(str(tmp_path / "documents.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for n, (name, stage) in enumerate(pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{n}"))
+        docs = spark.read.parquet(str(tmp_path / f"{n}"))
+        kept[name] = {r["doc_id"]: r for r in docs.collect()}
+        if n < 3:
+            assert docs.columns == list(pipeline.COLUMNS)
+    assert set(kept["language_id"]) == {r[0] for r in rows} - {102, 103}
+    assert set(kept["simhash_dedup"]) == set(range(60))
+    assert set(kept["suffix_dedup"]) == set(range(60))
+    assert all(passage[:300] not in r["text"] and r["n_chars"] == len(r["text"]) for r in kept["suffix_dedup"].values())
+    assert kept["suffix_dedup"][0]["text"] == rows[0][1]
+    assert sum(r["length"] for r in docs.collect()) == sum(r["doc_tokens"] for r in docs.dropDuplicates(["doc_id"]).collect())
+    assert pipeline.run(spark, str(tmp_path)).count() == docs.count()
