@@ -240,7 +240,7 @@ def summaries(spark, d):
 
 
 def _stories(spark, d) -> DataFrame:
-    at = F.timestamp_micros(F.lit(1704067200000000) + F.col("id") * 3600000000)
+    at = F.timestamp_micros(F.lit(1704067200000000) + F.col("id") * 3607000000)
     return documents(spark, d).select("id", "title", F.col("lang").alias("category"), at.alias("first_seen"), text.extract_entities(F.col("content_text"), 12, WORDS).alias("entities"), F.lit(1.0).alias("severity"), F.array(F.struct("id", "title", F.lit("").alias("url"), "source_id", F.col("content_text").alias("text"))).alias("articles"))
 
 

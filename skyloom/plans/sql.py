@@ -68,8 +68,8 @@ h AS (SELECT * FROM s ORDER BY id DESC LIMIT 500),
 j AS (SELECT a.id AS target_id, h.id AS prior_id, list_sort(list_intersect(a.e, h.e)) AS shared,
              CASE WHEN len(a.e) > 0 AND len(h.e) > 0 THEN len(list_intersect(a.e, h.e)) / len(list_distinct(list_concat(a.e, h.e))) ELSE 0 END AS ent,
              CASE WHEN len(a.t) > 0 AND len(h.t) > 0 THEN len(list_intersect(a.t, h.t)) / len(list_distinct(list_concat(a.t, h.t))) ELSE 0 END AS lex,
-             (a.lang = h.lang)::INT AS topic, abs(a.id - h.id) / 24 AS days
-      FROM s a JOIN h ON h.id - a.id <= 24 AND abs(h.id - a.id) <= 180 * 24),
+             (a.lang = h.lang)::INT AS topic, abs(a.id - h.id) * 3607 / 86400 AS days
+      FROM s a JOIN h ON (h.id - a.id) * 3607 <= 86400 AND abs(h.id - a.id) * 3607 <= 180 * 86400),
 r AS (SELECT *, 0.45 * ent + 0.25 * lex + 0.15 * greatest(0, 1 - days / 180) + 0.15 * topic AS rel FROM j),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY rel DESC, prior_id DESC) AS n FROM r
