@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.frames import checkpointed
 
 
+def stars(pairs: np.ndarray) -> np.ndarray:
+    """(node, least) for every node of the pairs but the least of each component: as connected as the pairs, and the same
+    few rows wherever a component is seen whole, so what several tasks find of it falls together."""
+    if not len(pairs):
+        return pairs.reshape(0, 2)
+    nodes, at = np.unique(pairs, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, before[a], low)  # a component's root hangs on the lower one
+        np.minimum.at(label, before[b], low)
+        while not np.array_equal(up := label[label], label):
+            label = up
+        if (label == before).all():
+            break
+    moved = label != np.arange(len(nodes))
+    return np.column_stack([nodes[moved], nodes[label[moved]]])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the edges; root is the component's smallest node.
 

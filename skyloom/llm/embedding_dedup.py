@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import blocks as B
-from skyloom.llm.components import connected_components
+from skyloom.llm.components import connected_components, stars
 from skyloom.llm.frames import checkpointed
 
 TABLES = 6
@@ -162,7 +162,7 @@ def near_links(classes: DataFrame, n: int, cosine: float = COSINE) -> DataFrame:
             row = np.concatenate([p[0] + s for p, s in zip(parts, shift)])
             ids, u = np.concatenate([p[1] for p in parts]), unit(np.concatenate([p[2] for p in parts]))
             links.append(ids[forest(np.concatenate([p[3] for p in parts]), row, u, cosine)])
-        out = np.concatenate(links)
+        out = stars(np.concatenate(links))
         return pa.table({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
 
     return classes.select("cid", "vec").mapInArrow(scatter, B.FRAGMENT).groupBy("slice").applyInArrow(verify, "a long, b long")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import blocks as B
-from skyloom.llm.components import connected_components
+from skyloom.llm.components import connected_components, stars
 from skyloom.llm.frames import checkpointed, trimmed
 from skyloom.llm.substring_dedup import word_hashes
 
@@ -210,7 +210,7 @@ def fingerprint_links(distinct: DataFrame, n: int, distance: int = MAX_DISTANCE)
             m = int.from_bytes(p[:4], "little")
             fps.append(np.frombuffer(p, np.uint64, m, 4))
             keys.append(B.unpack_sorted(p[4 + 8 * m :]))
-        links = links_in_keys(np.concatenate(keys), np.concatenate(fps), distance).view(np.int64)
+        links = stars(links_in_keys(np.concatenate(keys), np.concatenate(fps), distance).view(np.int64))
         return pa.table({"a": pa.array(links[:, 0]), "b": pa.array(links[:, 1])})
 
     return distinct.select("fp").mapInArrow(scatter, B.FRAGMENT).groupBy("slice").applyInArrow(verify, "a long, b long")
@@ -361,7 +361,7 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
         node, root, packed = np.asarray(table["node"]), np.asarray(table["root"]), table["shingles"].to_pylist()
         links: list[tuple[int, int]] = []
         order = np.lexsort((node, root))
-        for part in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+        for part in np.split(order, np.flatnonzero(np.diff(root[order])) + 1) if len(order) else []:
             links += similar_forest(node[part], [np.frombuffer(packed[i], np.uint64) for i in part], similarity)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 

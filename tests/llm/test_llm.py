@@ -412,6 +412,20 @@ def test_similar_forest_connects():
     assert {frozenset(x) for x in links} == {frozenset((10, 11)), frozenset((11, 14)), frozenset((12, 15))}
 
 
+def test_stars():
+    from skyloom.llm.components import stars
+
+    rng = np.random.default_rng(3)
+    for n, m in ((2, 1), (50, 30), (400, 500), (300, 299)):
+        pairs = rng.integers(0, n, (m, 2)) if m != 299 else np.column_stack([np.arange(299), np.arange(1, 300)])
+        least = np.arange(n)
+        for _ in range(n):
+            for a, b in pairs:
+                least[a] = least[b] = min(least[a], least[b])
+        assert {(a, b) for a, b in stars(pairs).tolist()} == {(int(i), int(least[i])) for i in np.unique(pairs) if least[i] != i}
+    assert stars(np.empty((0, 2), np.int64)).shape == (0, 2)
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(2)
