@@ -25,6 +25,24 @@ def similarity(earlier: str, later: str) -> float:
     return difflib.SequenceMatcher(None, earlier, later).ratio()
 
 
+def character_masks(s: str) -> dict[str, int]:
+    """For each character the positions where it stands, as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(s):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def common_subsequence(masks: dict[str, int], n: int, s: str) -> int:
+    """Length of the longest common subsequence of s and a string of n characters with these masks (bit-parallel)."""
+    full = (1 << n) - 1
+    row = full
+    for c in s:
+        if u := row & masks.get(c, 0):
+            row = (row + u | row - u) & full
+    return n - row.bit_count()
+
+
 @F.pandas_udf(DoubleType())
 def title_similarity(earlier: pd.Series, later: pd.Series) -> pd.Series:
     return pd.Series([similarity((a or "").lower(), (b or "").lower()) for a, b in zip(earlier, later)], dtype="float64")
@@ -34,7 +52,8 @@ def alike_pairs(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(earlier, later): pairs of arrivals (seq) whose titles are alike. titles: seq, lang, title.
 
     2 * matches / (la + lb) >= t needs min / max >= t / (2 - t), so lengths are dealt to bands of that ratio and a title
-    meets its own band and the next; the characters in common, counted as multisets, bound the matches. Both are exact.
+    meets its own band and the next; matching characters form a common subsequence, so its greatest length bounds the
+    matches. Both are exact.
     """
     ratio = threshold / (2 - threshold)
     low = titles.select("seq", F.coalesce("lang", F.lit("")).alias("lang"), F.lower(F.coalesce("title", F.lit(""))).alias("title"))
@@ -50,10 +69,12 @@ def alike_pairs(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def _alike(threshold: float):
     @F.pandas_udf(BooleanType())
     def alike(earlier: pd.Series, later: pd.Series) -> pd.Series:
-        out = []
+        out, masks = [], {}
         for a, b in zip(earlier, later):
-            m = difflib.SequenceMatcher(None, a, b)
-            out.append(m.quick_ratio() >= threshold and m.ratio() >= threshold)
+            if a not in masks:
+                masks[a] = character_masks(a)
+            possible = 2 * common_subsequence(masks[a], len(a), b) >= threshold * (len(a) + len(b)) - 1e-9
+            out.append(possible and similarity(a, b) >= threshold)
         return pd.Series(out, dtype="bool")
 
     return alike

@@ -67,6 +67,19 @@ def test_dedup_is_the_fold(spark, seed):
     assert sorted(r["seq"] for r in dedup.dedup_batch(df).collect()) == dedup_plain(rows)
 
 
+def test_common_subsequence_bounds_the_matches():
+    rng = random.Random(9)
+    for _ in range(400):
+        a, b = ("".join(rng.choices("abcé ", k=rng.randint(0, 30))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+        n = dedup.common_subsequence(dedup.character_masks(a), len(a), b)
+        assert n == row[-1] and 2 * n >= dedup.similarity(a, b) * (len(a) + len(b)) - 1e-9
+
+
 def cluster_plain(rows):
     fold = cluster.Fold()
     return [(r[0], fold.add(r[1], set(r[2]), set(r[3])) + 1) for r in sorted(rows, key=lambda r: (r[1], r[0]))]
