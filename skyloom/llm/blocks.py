@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.frames import trimmed
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 """Bytes of text a block aims at; one document larger than this makes a block of its own size."""
 
 SLICE_KEYS = 1_000_000

@@ -26,7 +26,7 @@ END = 2
 LENGTH = 4096
 GROUP_BYTES = 8 << 20
 """Bytes of text that a worker takes at once."""
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 """Once a worker knows the ids of so many words, it starts a new generation and keeps one older. The ids don't depend
 on it."""
 

@@ -108,9 +108,10 @@ class Parse:
 
     def marks(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Positions of the byte string that one of the ranges [lo, hi) covers."""
-        n = len(self.data)
-        steps = np.bincount(lo, minlength=n + 1)[: n + 1] - np.bincount(hi, minlength=n + 1)[: n + 1]
-        return np.cumsum(steps[:n]) > 0
+        steps = np.zeros(len(self.data) + 1, np.int32)
+        np.add.at(steps, lo, 1)
+        np.add.at(steps, hi, -1)
+        return np.cumsum(steps[:-1], dtype=np.int32) > 0
 
 
 def _union(*answers: DataFrame) -> DataFrame:
