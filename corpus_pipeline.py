@@ -34,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one of the smallest id, of each group of near duplicates: a Jaccard similarity of 0.8 or
-    more of five-word shingles, found by SimHash and verified. Null ids stay; rows of one id stay or go together."""
+    more of five-word shingles, found by MinHash bands and verified. Null ids stay; rows of one id stay or go together."""
     groups = near_duplicate_groups(docs)
     gone = checkpointed(groups.groupBy("doc_id").agg(F.min("component_id").alias("least")).where("doc_id <> least").select("doc_id"))
     few = gone.count() <= BROADCAST_IDS

@@ -239,8 +239,12 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 SIMILARITY = 0.8
 SHINGLE = 5
-FINGERPRINTS = 4
-"""Independent fingerprints a text; one of them within four bits makes a candidate, and candidates are verified exactly."""
+ROWS = 3
+"""MinHash values a band; texts that share a band are candidates."""
+MISS = 1e-7
+"""The chance that a pair of just the similarity shares no band, and again that its sketches refuse it."""
+BAND_KEYS = 250_000
+"""Band keys (about 90 bytes each) that one task reads."""
 PART_SHINGLES = 2_000_000
 """Shingles of a component that one task compares with as many others at most."""
 BROADCAST_IDS = 1_000_000
@@ -261,19 +265,6 @@ def _words(texts: list[bytes | None]) -> list[np.ndarray]:
     return out
 
 
-def word_fingerprints(words: np.ndarray) -> list[int]:
-    """FINGERPRINTS SimHashes of a text's different words. Each counts once: by their numbers, the few frequent words of a
-    language would make all its texts alike."""
-    own, out = np.unique(words), []
-    for seed in range(FINGERPRINTS):
-        total = np.zeros(64, np.int64)
-        for a in range(0, len(own), 1 << 16):
-            h = B.mix(own[a : a + (1 << 16)] ^ np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & (1 << 64) - 1))
-            total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(total * 2 > len(own), bitorder="little").view("<i8")[0]))
-    return out
-
-
 def shingle_set(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     """The sorted different shingles; the whole sequence where there are fewer words."""
     n = max(1, len(words) - shingle + 1) if len(words) else 0
@@ -281,6 +272,70 @@ def shingle_set(words: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(B.runs_hash(words, at, np.minimum(at + shingle, len(words)), B.BASE2))
 
 
+def bands_for(similarity: float) -> int:
+    """Bands with which a pair of this similarity is missed with a chance of at most MISS."""
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-min(similarity, 1 - 1e-9) ** ROWS)))
+
+
+def least_equal(n: int, similarity: float) -> int:
+    """How many of n MinHash values agree, but for a chance of MISS, in a pair of at least this similarity."""
+    below = 0.0
+    for c in range(n + 1):
+        below += math.comb(n, c) * similarity**c * (1 - similarity) ** (n - c)
+        if below > MISS:
+            return c
+    return n
+
+
+def signatures(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """(texts, n) MinHash values of sets of shingles."""
+    salts = B.mix(np.arange(1, n + 1, dtype=np.uint64))
+    out = np.full((len(sets), n), (1 << 64) - 1, np.uint64)
+    for i, s in enumerate(sets):
+        for a in range(0, len(s), 4096):
+            np.minimum(out[i], B.mix(s[a : a + 4096, None] ^ salts).min(axis=0), out=out[i])
+    return out
+
+
+def links_in_bands(key: np.ndarray, node: np.ndarray, size: np.ndarray, sketch: np.ndarray, least: int, similarity: float) -> np.ndarray:
+    """Pairs of nodes that share a key and may have the similarity by their sizes and sketches: all of them in small groups, a
+    spanning forest of them in large ones (as in links_in_keys)."""
+    order = np.lexsort((node, key))
+    again = np.flatnonzero((key[order][1:] == key[order][:-1]) & (node[order][1:] == node[order][:-1])) + 1
+    order = np.delete(order, again)
+    key, node, size, sketch = key[order], node[order], size[order].astype(np.float64), sketch[order]
+
+    def alike(i, j) -> np.ndarray:
+        fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+        return fits & ((sketch[i] == sketch[j]).sum(axis=1) >= least)
+
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    count = np.diff(np.append(first, len(key)))
+    out = []
+    small = np.flatnonzero(np.repeat(count <= DENSE, count) & np.repeat(count > 1, count))
+    k, step = key[small], 1
+    while len(k) > step:
+        same = np.flatnonzero(k[step:] == k[:-step])
+        if not len(same):
+            break
+        i, j = small[same], small[same + step]
+        near = alike(i, j)
+        out.append(np.column_stack([node[i[near]], node[j[near]]]))
+        step += 1
+    for f in np.flatnonzero(count > DENSE):
+        left = np.arange(first[f], first[f] + count[f])
+        while len(left):
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                x = queue.pop()
+                near = alike(left, np.full(len(left), x))
+                if near.any():
+                    reached, left = left[near], left[~near]
+                    out.append(np.column_stack([np.full(len(reached), node[x]), node[reached]]))
+                    queue.extend(reached.tolist())
+    return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+
+
 def similar_forest(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links that connect all whose sets have the Jaccard similarity; breadth first, so that what one reached isn't
     compared again."""
@@ -304,52 +359,58 @@ def similar_forest(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -
     return out
 
 
-def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id): texts link whose sets of `shingle`-word shingles have the Jaccard similarity; component_id
-    is the smallest doc_id that links reach.
+def near_duplicate_classes(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of every different text that is linked with another: xxhash64 of the text (null as empty), and the smallest
+    node that links reach. Texts link whose sets of `shingle`-word shingles have the Jaccard similarity.
 
-    Candidates are texts of which one of FINGERPRINTS SimHashes of their different words lies within four bits (Golay keys);
-    their components are verified by the exact similarity. A-Z are lower-cased, words are those of simhash_groups. Equal
-    texts are one group, and so are all texts without words, null and empty ones included. Rows of one id share its groups; rows without an id get none.
-    Empty tables give empty results; other columns are not read.
+    Candidates are texts that share a band of ROWS MinHash values of their shingles and whose sketches (a byte of each value)
+    don't tell that they differ: each loses a pair of just the similarity with a chance of at most MISS, wherever the texts
+    differ, and a more similar pair more rarely. Their components are verified by the exact similarity. Different texts share
+    a node with a chance of 1e-5 at 15 million texts.
     """
-    base = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    content = F.coalesce(docs[text].cast("string"), F.lit(""))
+    base = docs.select(F.xxhash64(content).alias("node"), content.alias("text"))
+    bands = bands_for(similarity)
+    values = bands * ROWS
+    least = least_equal(values, similarity)
+    slices = max(8, math.ceil(docs.count() * bands / BAND_KEYS))
 
-    def of(batches):
+    def scatter(batches):
         for batch in batches:
-            for a in range(0, len(batch), 1024):
-                part = batch.slice(a, 1024)
-                fps = [word_fingerprints(w) for w in _words(part.column(1).cast(pa.binary()).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *[pa.array([f[k] for f in fps], pa.int64()) for k in range(FINGERPRINTS)]], ["doc_id", "h1", "h2", *[f"f{k}" for k in range(FINGERPRINTS)]])
-
-    columns = ", ".join(f"f{k} long" for k in range(FINGERPRINTS))
-    hashed = base.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    own = checkpointed(hashed.mapInArrow(of, f"doc_id long, h1 long, h2 long, {columns}"))
-    classes = checkpointed(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("cid"), *[F.first(f"f{k}").alias(f"f{k}") for k in range(FINGERPRINTS)]))
-    # candidates: a text and the first text of its fingerprint, and the first texts of linked fingerprints
-    edges = None
-    for k in range(FINGERPRINTS):
-        first = checkpointed(classes.groupBy(F.col(f"f{k}").alias("fp")).agg(F.min("cid").alias("cid")))
-        links = fingerprint_links(first, first.count())
-        same = classes.join(first.withColumnRenamed("cid", "b"), F.col(f"f{k}") == F.col("fp")).where("cid <> b").select(F.col("cid").alias("a"), "b")
-        a, b = first.select(F.col("fp").alias("a"), F.col("cid").alias("ca")), first.select(F.col("fp").alias("b"), F.col("cid").alias("cb"))
-        found = checkpointed(same.unionAll(links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).distinct())
-        edges = found if edges is None else edges.unionAll(found)
-    coarse = checkpointed(connected_components(edges))
-    n_members = coarse.count()
-
-    def by_id(ids: DataFrame, n: int) -> DataFrame:
-        return F.broadcast(ids) if n <= BROADCAST_IDS else ids
+            node, at = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)  # copies in a batch are one
+            size, found = np.zeros(len(node), np.uint32), np.zeros((len(node), values), np.uint64)
+            for a in range(0, len(node), 1024):
+                sets = [shingle_set(w, shingle) for w in _words(batch.column(1).take(pa.array(at[a : a + 1024])).cast(pa.binary()).to_pylist())]
+                size[a : a + 1024], found[a : a + 1024] = [len(s) for s in sets], signatures(sets, values)
+            sketch = found.astype(np.uint8)
+            key = B.mix(B.mix(B.mix(found[:, ::3]) ^ found[:, 1::3]) ^ found[:, 2::3]) + np.arange(bands, dtype=np.uint64)
+            key = B.mix(key).ravel()
+            order = np.argsort(key)
+            key, which = key[order], order // bands
+            pack = lambda a, b, k=key, w=which, n=node, s=size, t=sketch: int(b - a).to_bytes(8, "little") + k[a:b].tobytes() + n[w[a:b]].tobytes() + s[w[a:b]].tobytes() + t[w[a:b]].tobytes()
+            yield from B.fragments(0, slices, key, pack).to_batches()
+
+    def candidates(table: pa.Table) -> pa.Table:
+        parts = []
+        for p in table["payload"].to_pylist():
+            n = int.from_bytes(p[:8], "little")
+            parts.append((np.frombuffer(p, np.uint64, n, 8), np.frombuffer(p, np.int64, n, 8 + 8 * n), np.frombuffer(p, np.uint32, n, 8 + 16 * n), np.frombuffer(p, np.uint8, n * values, 8 + 20 * n).reshape(n, values)))
+        links = stars(links_in_bands(*[np.concatenate(x) for x in zip(*parts)], least, similarity))
+        return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
+
+    coarse = checkpointed(connected_components(base.mapInArrow(scatter, B.FRAGMENT).groupBy("slice").applyInArrow(trimmed(candidates), "a long, b long")))
+    few_nodes = coarse.count() <= BROADCAST_IDS
 
     def sets(batches):
         for batch in batches:
-            for a in range(0, len(batch), 1024):
-                part = batch.slice(a, 1024)
+            node, at = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
+            for a in range(0, len(node), 1024):
+                part = batch.take(pa.array(at[a : a + 1024]))
                 found = [shingle_set(w, shingle) for w in _words(part.column(2).cast(pa.binary()).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "root", "n", "shingles"])
 
-    members = base.join(by_id(coarse, n_members), base["doc_id"] == coarse["node"])
-    members = checkpointed(members.select("node", "root", "text").mapInArrow(sets, "node long, root long, n long, shingles binary"))
+    members = base.join(F.broadcast(coarse) if few_nodes else coarse, "node").select("node", "root", "text")
+    members = checkpointed(members.mapInArrow(sets, "node long, root long, n long, shingles binary").dropDuplicates(["node"]))
     size = members.groupBy("root").agg(F.sum("n").alias("total"))
     few = max(1, math.ceil((members.agg(F.sum("n")).first()[0] or 0) / PART_SHINGLES))
     placed = members.join(size, "root").withColumn("parts", F.ceil(F.col("total") / PART_SHINGLES).cast("int"))
@@ -367,5 +428,17 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     verified = placed.groupBy("g", "single", "lo", "hi").applyInArrow(trimmed(verify), "a long, b long")
     roots = checkpointed(connected_components(verified))
-    label = classes.join(roots, classes["cid"] == roots["node"], "left").select("h1", "h2", F.coalesce("root", "cid").alias("component_id"))
-    return own.select("doc_id", "h1", "h2").join(label, ["h1", "h2"]).select("doc_id", "component_id")
+    return roots
+
+
+def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id): component_id is the smallest doc_id that links of near_duplicate_classes reach.
+
+    A-Z are lower-cased, words are those of simhash_groups. Equal texts are one group, and so are all texts without words, null
+    and empty ones included. Rows of one id share its groups; rows without an id get none. Empty tables give empty results;
+    other columns are not read.
+    """
+    roots = near_duplicate_classes(docs, text, shingle, similarity)
+    own = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("h")).where("doc_id is not null")
+    own = own.join(roots, own["h"] == roots["node"], "left").select("doc_id", F.coalesce("root", "h").alias("root"))
+    return own.join(own.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")

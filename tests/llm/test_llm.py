@@ -406,6 +406,32 @@ def test_near_duplicate_groups(spark):
     assert all(comp[i] == comp[got[i]] and got[i] <= i for i in got)  # nothing else is merged
 
 
+def test_near_duplicates_of_block_edits(spark):
+    rng = random.Random(21)
+    make = lambda n: [f"w{rng.randrange(40000)}" for _ in range(n)]
+    rows, pairs = [], []
+    for k in range(160):
+        base = make(rng.choice([60, 200, 700]))
+        n = len(base)
+        edited = [base[: n - n // 7], base + make(n // 6), base[n // 7 :], base[: n // 2] + make(n // 6) + base[n // 2 :]][k % 4]
+        a, b = ({tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (base, edited))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(edited))]
+        if len(a & b) >= 0.8 * len(a | b):
+            pairs.append(2 * k)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(frame(spark, rows)).collect()}
+    assert len(pairs) > 100 and {i for i in range(0, 320, 2) if got[i + 1] == got[i]} == set(pairs)
+
+
+def test_bands_miss_nothing():
+    rng = np.random.default_rng(5)
+    n, least = 3 * simhash.bands_for(0.8), simhash.least_equal(3 * simhash.bands_for(0.8), 0.8)
+    key = np.zeros(100, np.uint64)
+    sketch = np.repeat(rng.integers(0, 256, (1, n), dtype=np.uint8), 100, axis=0)
+    for m in (simhash.DENSE, 100):  # all in one key: small and large groups
+        links = simhash.links_in_bands(key[:m], np.arange(m), np.full(m, 50), sketch[:m], least, 0.8)
+        assert set(links.ravel().tolist()) == set(range(m))
+
+
 def test_similar_forest_connects():
     sets = [np.sort(np.array(s, np.uint64)) for s in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 6], [9, 10], [], [1, 2, 3, 4, 5, 6, 7], [9, 10])]
     links = simhash.similar_forest(np.arange(10, 16), sets, 0.8)
