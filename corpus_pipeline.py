@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skyloom.llm.frames import checkpointed, shared_dir
 from skyloom.llm.language_id import fit, identify
 from skyloom.llm.packing import pack
-from skyloom.llm.simhash import BROADCAST_IDS, near_duplicate_groups
+from skyloom.llm.simhash import BROADCAST_IDS, near_duplicate_classes
 from skyloom.llm.suffix_dedup import remove_repeated_strings
 from skyloom.session import importable
 
@@ -33,12 +33,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one of the smallest id, of each group of near duplicates: a Jaccard similarity of 0.8 or
-    more of five-word shingles, found by MinHash bands and verified. Null ids stay; rows of one id stay or go together."""
-    groups = near_duplicate_groups(docs)
-    gone = checkpointed(groups.groupBy("doc_id").agg(F.min("component_id").alias("least")).where("doc_id <> least").select("doc_id"))
-    few = gone.count() <= BROADCAST_IDS
-    return docs.select(*COLUMNS).join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps exactly one row of each group of near duplicates: a Jaccard similarity of 0.8 or more of five-word shingles,
+    found by MinHash bands and verified. Repeated rows and rows with a null id are rows like any other. The row kept is that
+    of the smallest id (null last), and of these the least text, lang, source and n_chars; an id doesn't tell a row, so
+    texts that share one are judged each by itself."""
+    own = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"))
+    # groups: texts linked with others, and texts of several rows; all other rows stay as they are
+    roots = near_duplicate_classes(docs)
+    counted = own.groupBy("node").count().where("count > 1").select("node", F.col("node").alias("root"))
+    groups = checkpointed(roots.unionAll(counted.join(roots, "node", "left_anti")))
+    held = F.broadcast(groups) if groups.count() <= BROADCAST_IDS else groups
+    alone = own.join(held, "node", "left_anti").select(*COLUMNS)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), *COLUMNS)
+    kept = own.join(held, "node").groupBy("root").agg(F.min(row).alias("row"))
+    return alone.unionAll(kept.select(*[F.col(f"row.{c}").alias(c) for c in COLUMNS]))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -475,3 +475,21 @@ def test_pipeline(spark, tmp_path):
     assert kept["suffix_dedup"][0]["text"] == rows[0][1]
     assert sum(r["length"] for r in docs.collect()) == sum(r["doc_tokens"] for r in docs.dropDuplicates(["doc_id"]).collect())
     assert pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(8)
+    make = lambda: " ".join("".join(rng.choices(["ka", "ko", "mi", "tu"], k=3)) for _ in range(120))
+    texts = [make() for _ in range(40)]
+    rows = [(i, t, "aa", "s", 1) for i, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (None, texts[3], "aa", "s", 1), (7, texts[2] + " end", "aa", "s", 1)]  # repeated, without id, an id of another text
+    rows += [(None, t, "aa", "s", 1) for t in (make(), make())]
+    docs, n = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), 0
+    for name, stage in pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name in ("simhash_dedup", "suffix_dedup"):
+            assert sorted(r["text"] for r in docs.collect()) == sorted([*texts, rows[-2][1], rows[-1][1]])
+            assert sorted(r["doc_id"] for r in docs.where("doc_id is not null").collect()) == list(range(40))
+    assert docs.count() > 0
