@@ -10,6 +10,8 @@ as articles quote and copy each other (in the test tables a passage of an articl
 removing whatever repeats would lose text); elsewhere if a few pages have them. The text is the main zone's blocks that
 are left, or, in a page without a main zone, the other blocks.
 
+Pages of a host with the same blocks are one page when strings are counted, and all of them get its text.
+
 Large hosts are dealt to several shards by a hash of the page, so no host is one task; a string that most pages of a host
 have is one that most pages of its shards have.
 """
@@ -24,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.llm import blocks as B
 from skyloom.llm.frames import trimmed
+from skyloom.llm.substring_dedup import word_hashes
 
 SHARD_BYTES = 4 << 20
 BROADCAST_HOSTS = 100_000
@@ -156,41 +160,76 @@ def suffix_groups(tokens: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     return rank - 1
 
 
-def shared_blocks(pages: list[list[tuple[int, str]]], depth: int = DEPTH) -> list[list[bool]]:
-    """Whether each block of each of a host's pages is boilerplate."""
-    numbers: dict[str, int] = {}
-    tokens, page, zone, block = [], [], [], []
-    n = 0
-    for i, own in enumerate(pages):
-        for z, line in own:
-            words = line.split(" ")
-            tokens += [numbers.setdefault(w, len(numbers) + 1) for w in words]
-            tokens += [0] * depth  # a block's end; strings don't reach into the next block
-            page += [i] * (len(words) + depth)
-            zone += [z] * (len(words) + depth)
-            block += [n] * len(words) + [-1] * depth
-            n += 1
-    gone = np.zeros(n, bool)
-    if len(pages) >= OTHER_PAGES and n:
-        stream, page_, zone_, block_ = (np.array(x) for x in (tokens, page, zone, block))
-        real = block_ >= 0
-        group = suffix_groups(stream, depth)
-        pair = np.unique(group[real] * len(pages) + page_[real])  # each page counts once
-        count = np.bincount(pair // len(pages), minlength=int(group.max()) + 1)[group]
-        need = np.where(zone_ == MAIN, max(MAIN_PAGES, MAIN_SHARE * len(pages)), max(OTHER_PAGES, OTHER_SHARE * len(pages)))
-        hit = real & (count >= need)
-        cover = np.zeros(len(stream) + depth, np.int64)
-        at = np.flatnonzero(hit)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + depth, -1)
-        covered = (np.cumsum(cover)[: len(stream)] > 0) & real
-        size = np.bincount(block_[real], minlength=n)
-        gone = np.bincount(block_[covered], minlength=n) >= COVERED * size
-    out, i = [], 0
-    for own in pages:
-        out.append(gone[i : i + len(own)].tolist())
-        i += len(own)
-    return out
+class Strings:
+    """The strings of `depth` tokens (fewer at a block's end) of different pages of a host, or of a shard of it."""
+
+    def __init__(self, pages: list[list[tuple[int, str]]], depth: int = DEPTH):
+        lines = [line for own in pages for _, line in own]
+        self.pages, self.depth = pages, depth
+        self.zone = np.array([z for own in pages for z, _ in own], np.int64)
+        self.size = np.array([line.count(" ") + 1 for line in lines], np.int64)
+        self.block = np.repeat(np.arange(len(lines)), self.size)
+        self.page = np.repeat(np.repeat(np.arange(len(pages)), [len(own) for own in pages]), self.size)
+        tokens = word_hashes("\n".join(lines).encode())
+        at = np.arange(len(tokens))
+        self.at = at + depth * self.block  # a block's end is `depth` zeros; strings don't reach into the next block
+        stream = np.zeros(len(tokens) + depth * len(lines), np.uint64)
+        stream[self.at] = tokens
+        _, first, self.group = np.unique(suffix_groups(stream, depth)[self.at], return_index=True, return_inverse=True)
+        ends = np.minimum(at + depth, np.repeat(np.cumsum(self.size), self.size))
+        self.key = B.runs_hash(tokens, first, ends[first], B.BASE2).view(np.int64)
+        """What tells a group's string in other shards."""
+
+    def counts(self, counted: np.ndarray) -> np.ndarray:
+        """Of each group, how many of the `counted` pages have its string."""
+        n, use = max(1, len(self.pages)), counted[self.page]
+        return np.bincount(np.unique(self.group[use] * n + self.page[use]) // n, minlength=len(self.key))
+
+    def gone(self, count: np.ndarray, n_pages: int) -> list[list[bool]]:
+        """Whether each block of each page is boilerplate, by the groups' counts among the host's n_pages different pages."""
+        need = np.where(self.zone == MAIN, max(MAIN_PAGES, MAIN_SHARE * n_pages), max(OTHER_PAGES, OTHER_SHARE * n_pages))
+        hit = self.at[count[self.group] >= need[self.block]]
+        cover = np.zeros(len(self.at) + self.depth * len(self.size) + 1, np.int64)
+        cover[hit] += 1
+        cover[hit + self.depth] -= 1
+        covered = np.cumsum(cover)[self.at] > 0
+        away = np.bincount(self.block[covered], minlength=len(self.size)) >= COVERED * self.size
+        out, i = [], 0
+        for own in self.pages:
+            out.append(away[i : i + len(own)].tolist())
+            i += len(own)
+        return out
+
+
+def different(table: pa.Table):
+    """(host, its different pages, the rows of each, whether each counts here) of a task's rows."""
+    hosts: dict[str, dict[tuple[bytes, str], list[int]]] = {}
+    for i, (h, z, t) in enumerate(zip(table["host"].to_pylist(), table["zones"].to_pylist(), table["lines"].to_pylist(), strict=True)):
+        hosts.setdefault(h, {}).setdefault((z, t), []).append(i)
+    counts = np.asarray(table["counts"])
+    for h, pages in hosts.items():
+        rows = list(pages.values())
+        yield h, [list(zip(z, t.split("\n"))) for z, t in pages], rows, counts[[r[0] for r in rows]]
+
+
+def texts_of(table: pa.Table, known) -> pa.Table:
+    """The texts of a task's rows; known(host) gives (pages, keys, counts) of a large host, None of one that is here whole."""
+    texts = [""] * len(table)
+    for host, pages, rows, counted in different(table):
+        strings = Strings(pages)
+        told = known(host)
+        if told is None:
+            n_pages, count = len(pages), strings.counts(counted)
+        else:
+            n_pages, keys, sums = told
+            at = np.minimum(np.searchsorted(keys, strings.key), max(0, len(keys) - 1))
+            count = np.where(keys[at] == strings.key, sums[at], 0) if len(keys) else np.zeros(len(strings.key), np.int64)
+        for own, gone, same in zip(pages, strings.gone(count, n_pages), rows, strict=True):
+            has_main = any(z == MAIN for z, _ in own)
+            text = "\n".join(line for (z, line), away in zip(own, gone, strict=True) if not away and (z == MAIN or not has_main))
+            for i in same:
+                texts[i] = text
+    return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
 
 
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_column: str = "html") -> DataFrame:
@@ -198,8 +237,8 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     space, joined by line ends.
 
     Null or empty pages have empty texts. A url without a host (null, say) makes pages of one nameless host. Repeated
-    rows are pages of their own, so a host that serves one page over and over keeps its article below the share, at
-    most; cut-off markup is read as far as it goes. Empty tables give empty results; other columns are not read.
+    rows and other copies are one page when a host's pages are counted; cut-off markup is read as far as it goes. Empty
+    tables give empty results; other columns are not read.
     """
     host = F.lower(F.coalesce(F.regexp_extract(pages[url], r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     base = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), host.alias("host"), F.coalesce(pages[html_column].cast("string"), F.lit("")).alias("html"))
@@ -222,18 +261,5 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     placed = parsed.join(F.broadcast(large) if total // SHARD_BYTES <= BROADCAST_HOSTS else large, "host", "left")
     salt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1)))
     placed = placed.withColumn("shard", F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("host"), F.lit(few))).otherwise(F.xxhash64("host", salt)))
-
-    def extract(table: pa.Table) -> pa.Table:
-        hosts = table["host"].to_pylist()
-        pages_ = [list(zip(z, t.split("\n"))) for z, t in zip(table["zones"].to_pylist(), table["lines"].to_pylist(), strict=True)]
-        by_host: dict[str, list[int]] = {}
-        for i, h in enumerate(hosts):
-            by_host.setdefault(h, []).append(i)
-        texts = [""] * len(hosts)
-        for own in by_host.values():
-            for i, gone in zip(own, shared_blocks([pages_[i] for i in own]), strict=True):
-                has_main = any(z == MAIN for z, _ in pages_[i])
-                texts[i] = "\n".join(line for (z, line), away in zip(pages_[i], gone, strict=True) if not away and (z == MAIN or not has_main))
-        return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
-
-    return placed.select("page_id", "url", "zones", "lines", "host", "shard").groupBy("shard").applyInArrow(trimmed(extract), "page_id long, url string, text string, n_chars long")
+    placed = placed.select("page_id", "url", "zones", "lines", "host", "shard", F.lit(True).alias("counts"))
+    return placed.groupBy("shard").applyInArrow(trimmed(lambda table: texts_of(table, lambda host: None)), "page_id long, url string, text string, n_chars long")

@@ -308,6 +308,17 @@ def test_host_boilerplate(spark):
     assert (got[100]["text"], got[101]["text"]) == ("", "kept ©")
 
 
+def test_copies_of_an_article_are_one_page(spark):
+    rng = random.Random(3)
+    make = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(40))
+    hot, menu = make(), "all rights reserved by the publisher of this fine paper and others"
+    pages = [hot] * 40 + [make() for _ in range(6)]
+    rows = [(i, "https://h.com/", f"<div>{menu}</div><article><p>{t}</p></article>") for i, t in enumerate(pages)]
+    rows += [(100 + i, "https://o.com/", f"<div>{menu}</div><div>{t}</div>") for i, t in enumerate([hot] * 8 + pages[40:])]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(46)] == pages and [got[100 + i] for i in range(14)] == [hot] * 8 + pages[40:]
+
+
 def test_suffix_groups_are_the_truncated_order():
     rng = np.random.default_rng(0)
     x = rng.integers(1, 4, 300)
