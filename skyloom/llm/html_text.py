@@ -12,8 +12,9 @@ are left, or, in a page without a main zone, the other blocks.
 
 Pages of a host with the same blocks are one page when strings are counted, and all of them get its text.
 
-Large hosts are dealt to several shards by a hash of the page, so no host is one task; a string that most pages of a host
-have is one that most pages of its shards have.
+Large hosts are dealt to several shards by a hash of the page, so no host is one task. Counts and shares are those of the whole
+host all the same: a string that a share of the host's pages have is one that this share of some shard's pages have, so shards
+name such strings, count the named ones of all shards of the host, and the sums decide.
 """
 
 from __future__ import annotations
@@ -23,15 +24,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import blocks as B
-from skyloom.llm.frames import trimmed
+from skyloom.llm.frames import checkpointed, trimmed
 from skyloom.llm.substring_dedup import word_hashes
 
 SHARD_BYTES = 4 << 20
 BROADCAST_HOSTS = 100_000
+BROADCAST_COPIES = 1_000_000
 DEPTH = 8
 MAIN_SHARE, MAIN_PAGES = 0.6, 12
 OTHER_SHARE, OTHER_PAGES = 0.2, 3
@@ -232,6 +235,33 @@ def texts_of(table: pa.Table, known) -> pa.Table:
     return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
 
 
+def named_strings(table: pa.Table) -> pa.Table:
+    """(host, key, n): a row without a key has the number of a shard's pages; keys are strings that a share of them have."""
+    out = []
+    for host, pages, _, counted in different(table.filter(pc.invert(table["whole"]))):
+        n = int(counted.sum())
+        strings = Strings(pages)
+        named = strings.key[strings.counts(counted) >= max(1, OTHER_SHARE * n)] if n else []
+        out += [(host, None, n), *((host, int(k), 0) for k in named)]
+    hosts, keys, ns = zip(*out) if out else ((), (), ())
+    return pa.table({"host": pa.array(hosts, pa.string()), "key": pa.array(keys, pa.int64()), "n": pa.array(ns, pa.int64())})
+
+
+def named_counts(table: pa.Table, named: pa.Table) -> pa.Table:
+    """(host, key, pages, n) of a shard's strings among the host's named ones, and a row without a key."""
+    wanted = {h: (n, np.array(k, np.int64)) for h, n, k in zip(*(named[x].to_pylist() for x in ("host", "pages", "keys")), strict=True)}
+    out = []
+    for host, pages, _, counted in different(table.filter(pc.invert(table["whole"]))) if len(wanted) else ():
+        n, keys = wanted[host]
+        out.append((host, None, n, 0))
+        if len(keys):
+            strings = Strings(pages)
+            count = strings.counts(counted)
+            out += [(host, int(strings.key[i]), n, int(count[i])) for i in np.flatnonzero(np.isin(strings.key, keys) & (count > 0))]
+    columns = list(zip(*out)) or [()] * 4
+    return pa.table({name: pa.array(c, kind) for name, c, kind in zip(("host", "key", "pages", "n"), columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)})
+
+
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html_column: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page: its blocks, character references decoded and white space made one
     space, joined by line ends.
@@ -255,11 +285,32 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
                 found = [blocks(p) for p in part.column(3).to_pylist()]
                 zones = pa.array([bytes(z for z, _ in own) for own in found], pa.binary())
                 lines = pa.array(["\n".join(line for _, line in own) for own in found], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], zones, lines], ["page_id", "url", "host", "zones", "lines"])
-
-    parsed = base.mapInArrow(parse, "page_id long, url string, host string, zones binary, lines string")
-    placed = parsed.join(F.broadcast(large) if total // SHARD_BYTES <= BROADCAST_HOSTS else large, "host", "left")
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1)))
-    placed = placed.withColumn("shard", F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("host"), F.lit(few))).otherwise(F.xxhash64("host", salt)))
-    placed = placed.select("page_id", "url", "zones", "lines", "host", "shard", F.lit(True).alias("counts"))
-    return placed.groupBy("shard").applyInArrow(trimmed(lambda table: texts_of(table, lambda host: None)), "page_id long, url string, text string, n_chars long")
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], zones, lines, part.column(4)], ["page_id", "url", "host", "zones", "lines", "parts"])
+
+    shard = lambda salt: F.xxhash64("host", salt.cast("long"))
+    of_large = shard(F.pmod(F.xxhash64("page_id", "url"), F.col("parts")))
+    base = base.join(F.broadcast(large) if total // SHARD_BYTES <= BROADCAST_HOSTS else large, "host", "left").select("page_id", "url", "host", "html", "parts")
+    parsed = lambda rows: rows.mapInArrow(parse, "page_id long, url string, host string, zones binary, lines string, parts int")
+    result = "page_id long, url string, text string, n_chars long"
+    placed = parsed(base).withColumn("content", F.xxhash64("host", "zones", "lines")).withColumn("shard", F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("host"), F.lit(few))).otherwise(of_large))
+    columns = ["page_id", "url", "zones", "lines", "host", "shard", F.col("parts").isNull().alias("whole")]
+    if large.isEmpty():
+        return placed.select(*columns, F.lit(True).alias("counts")).groupBy("shard").applyInArrow(trimmed(lambda table: texts_of(table, {}.get)), result)
+    # a page that several shards have counts in the first of them
+    copies = parsed(base.where("parts is not null")).select(F.xxhash64("host", "zones", "lines").alias("content"), of_large.alias("shard"))
+    copies = checkpointed(copies.groupBy("content").agg(F.min("shard").alias("first"), F.max("shard").alias("last")).where("first <> last").select("content", "first"))
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
+    dealt = placed.join(copies, "content", "left").select(*columns, F.coalesce(F.col("first") == F.col("shard"), F.lit(True)).alias("counts"))
+    shards = large.select("host", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt")).select("host", shard(F.col("salt")).alias("shard"))
+    named = dealt.groupBy("shard").applyInArrow(trimmed(named_strings), "host string, key long, n long")
+    asked = shards.join(named.groupBy("host").agg(F.sum("n").alias("pages"), F.collect_set("key").alias("keys")), "host").select("shard", "host", "pages", "keys")
+    counted = dealt.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(trimmed(named_counts), "host string, key long, pages long, n long")
+    sums = counted.groupBy("host", "key").agg(F.max("pages").alias("pages"), F.sum("n").alias("n"))
+    sums = sums.groupBy("host").agg(F.max("pages").alias("pages"), F.sort_array(F.collect_list(F.when(F.col("key").isNotNull() & (F.col("n") >= OTHER_PAGES), F.struct("key", "n")))).alias("found"))
+    told = shards.join(sums, "host").select("shard", "host", "pages", F.col("found.key").alias("keys"), F.col("found.n").alias("sums"))
+
+    def extract(table: pa.Table, told: pa.Table) -> pa.Table:
+        by_host = {h: (n, np.array(k, np.int64), np.array(c, np.int64)) for h, n, k, c in zip(*(told[x].to_pylist() for x in ("host", "pages", "keys", "sums")), strict=True)}
+        return texts_of(table, by_host.get)
+
+    return dealt.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(trimmed(extract), result)

@@ -319,6 +319,23 @@ def test_copies_of_an_article_are_one_page(spark):
     assert [got[i] for i in range(46)] == pages and [got[100 + i] for i in range(14)] == [hot] * 8 + pages[40:]
 
 
+def test_size_of_a_host_changes_nothing(spark, monkeypatch):
+    rng = random.Random(4)
+    make = lambda n=40: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    notice, quoted, rare = make(), make(), make()
+    rows = []
+    for i in range(60):
+        extra = f"<p>{notice}</p>" + (f"<p>{quoted}</p>" if i % 2 else "")
+        rows.append((i, "https://h.com/", f"<main>{extra}<p>{make()}</p></main>" if i % 3 else f"<div>{rare if i % 4 else make()}</div><div>{make()}</div>"))
+    rows += [(i, *rows[7][1:]) for i in range(60, 90)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    read = lambda: {r["page_id"]: r["text"] for r in html_text.extract_text(df).collect()}
+    want = read()
+    assert sum(notice in t for t in want.values()) == 0 and sum(quoted in t for t in want.values()) > 10
+    monkeypatch.setattr(html_text, "SHARD_BYTES", 1500)
+    assert read() == want
+
+
 def test_suffix_groups_are_the_truncated_order():
     rng = np.random.default_rng(0)
     x = rng.integers(1, 4, 300)
