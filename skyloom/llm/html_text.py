@@ -59,33 +59,79 @@ _WORDS = {
     "recommended", "recommendations", "share", "sharing", "social", "breadcrumb", "breadcrumbs", "menu", "nav", "navbar", "navigation", "masthead", "footer", "copyright",
     "comment", "comments", "disqus", "discussion", "reply", "replies", "respond", "toolbar", "pagination", "pager", "search", "login", "paywall", "disclaimer",
 }
+_FORMS = {"has", "no", "not", "with", "without", "tag", "category", "cat"}
+"""Classes that begin so tell what a page has or is about, not what the element is; nor do those that end in a state."""
+_STATES = {"open", "closed", "enabled", "disabled"}
+_LISTING = {"comment", "comments", "disqus", "discussion", "reply", "replies", "respond", "related", "recommended", "recommendations"}
+"""Elements of these words hold articles that aren't the page's."""
+_FLOWING = {"p", "li", "dt", "dd", "option", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "tr", "td", "th"}
+"""Their end tags can be left out, or they hold no article."""
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _LISTS = {"ul", "ol", "dl", "select", "table", "menu"}
 DROP, MAIN, OTHER = 0, 1, 2
 
 
-def _zone(tag: str, attributes: str, outer: int) -> int:
+def _class_words(value: str) -> set[str]:
+    out: set[str] = set()
+    for token in value.split():
+        words = [w.lower() for w in _WORD.findall(token)]
+        if words and words[0] not in _FORMS and words[-1] not in _STATES:
+            out.update(words)
+    return out
+
+
+def _holds_article(page: str, at: int, tag: str, tags: set[str]) -> bool:
+    """Whether the element that was opened before `at` holds one of the tags, or an element of such a role."""
+    depth = 1
+    for m in _TOKEN.finditer(page, at):
+        name = (m[2] or "").lower()
+        if name == tag:
+            depth += -1 if m[1] else 1
+            if not depth:
+                return False
+        if name and not m[1] and (name in tags or "article" in tags and m[3] and _own_main(m[3])):
+            return True
+    return False
+
+
+def _own_main(attributes: str) -> bool:
+    """Whether attributes mark the main zone."""
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), (a or b or c).lower()
+        if name == "role" and value in ("main", "article") or name == "itemprop" and value == "articlebody":
+            return True
+    return False
+
+
+def _zone(tag: str, attributes: str, outer: int, page: str = "", at: int = 0) -> int:
+    """The zone of an element. Words of its class or id drop it, but not the main zone's own elements, nor what holds one
+    (an element of comments or related articles may hold articles; a `main` is the page's)."""
     if outer == DROP or tag in _DROPPED:
         return DROP
     if tag == "header" and outer != MAIN:
         return DROP
+    words: set[str] = set()
+    was, inner = outer, MAIN if tag in ("article", "main") else outer
     if attributes and tag not in ("html", "body"):
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                words = {w.lower() for w in _WORD.findall(value)}
-                if words & _WORDS or ("header" in words and outer != MAIN and tag not in ("h1", "h2", "h3")):
-                    return DROP
+                words |= _class_words(value)
             elif name == "role":
                 if value.lower() in _ROLES:
                     return DROP
                 if value.lower() in ("main", "article"):
-                    outer = MAIN
+                    inner = MAIN
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 return DROP
             elif name == "itemprop" and value.lower() == "articlebody":
-                outer = MAIN
-    return MAIN if tag in ("article", "main") else outer
+                inner = MAIN
+    own = tag in ("article", "main") or bool(attributes) and _own_main(attributes)
+    if not own and (words & _WORDS or ("header" in words and was != MAIN and tag not in ("h1", "h2", "h3"))):
+        tags = {"main"} if words & _LISTING else {"main", "article"}
+        if tag in _FLOWING or not _holds_article(page, at, tag, tags):
+            return DROP
+    return inner
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
@@ -142,7 +188,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             zone = stack[-1][1] if stack else OTHER
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
             continue
-        inner = _zone(tag, m[3], zone)
+        inner = _zone(tag, m[3], zone, page, at)
         if inner != zone:
             flush()
             zone = inner

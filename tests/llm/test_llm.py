@@ -295,6 +295,25 @@ def test_html_zones():
     assert html_text.blocks("") == [] and html_text.blocks("plain <b") == [(html_text.OTHER, "plain")]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article class='post category-search tag-social'><p>the text</p></article>",
+        "<main class='with-sidebar'><p>the text</p></main>",
+        "<div id='content' class='has-sidebar'><article><p>the text</p></article></div>",
+        "<article class='comments-open'><p>the text</p></article>",
+        "<article class='promo' id='banner'><p>the text</p></article>",
+        "<div class='sidebar-layout'><div>x</div><div class='widget'><main><p>the text</p></main></div></div>",
+        "<div class='related'><main><p>the text</p></main></div>",
+        "<section class='page-header'><div itemprop='articleBody'>the text</div></section>",
+        "<main><p>the text</p><div class='comments'><article>first!</article></div><div class=ad><div>buy</div></div></main>",
+        "<article><p>the text</p></article><div id='comments' class='open'><article class='comment'>first!</article></div>",
+    ],
+)
+def test_class_words_drop_no_article(page):
+    assert [t for z, t in html_text.blocks(page) if z == html_text.MAIN] == ["the text"]
+
+
 def test_host_boilerplate(spark):
     rng = random.Random(1)
     legal = "all rights reserved by the publisher of this fine paper and others"
