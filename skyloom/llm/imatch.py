@@ -28,7 +28,7 @@ SUBSETS = 32
 LEVELS = 6
 CROWDED = 8
 """Subsets that would hold more terms of a text than this on average are left empty in its fingerprint: with so many,
-any edit changes them all."""
+any edit changes them all. Those of the last level never are, so that no text with terms has the fingerprint of an empty one."""
 EMPTY = 42
 """Spark's hash of an empty array: a subset without terms."""
 
@@ -71,7 +71,8 @@ def fingerprint(text: Column, lexicon_: Column) -> Column:
     def level(own: Column, i: int) -> Column:
         mask = (1 << 2 * i) - 1
         chosen = F.filter(own, lambda h: F.shiftright(h, 20).bitwiseAND(mask) == 0)
-        chosen = F.when(F.size(own) <= CROWDED * SUBSETS * 4**i, chosen).otherwise(F.array().cast("array<bigint>"))
+        if i < LEVELS - 1:
+            chosen = F.when(F.size(own) <= CROWDED * SUBSETS * 4**i, chosen).otherwise(F.array().cast("array<bigint>"))
         number = lambda h: F.shiftright(h, 40).bitwiseAND(SUBSETS - 1)
         return let(chosen, lambda c: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: F.hash(F.filter(c, lambda h: number(h) == s))))
 

@@ -423,6 +423,17 @@ def test_imatch(spark, small_blocks):
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"just this one te" + b"just th").hexdigest()
 
 
+def test_imatch_of_very_long_texts(spark):
+    n = imatch.CROWDED * imatch.SUBSETS * 4 ** (imatch.LEVELS - 1) + 2000
+    rows = [(0, " ".join(f"a{i}" for i in range(n))), (1, " ".join(f"b{i}" for i in range(n))), (2, "")]
+    every = imatch.F.array_repeat(imatch.F.lit(-1).cast("long"), 1 << (imatch.BUCKET_BITS - 6))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = {r["doc_id"]: r["fp"] for r in df.select("doc_id", imatch.fingerprint(df.text, every).alias("fp")).collect()}
+    assert all(any(x != imatch.EMPTY for x in fps[i]) for i in (0, 1)) and fps[0] != fps[1]
+    pairs = spark.createDataFrame([(fps[0], fps[1]), (fps[0], fps[2]), (fps[0], fps[0])], "a array<int>, b array<int>")
+    assert [round(r[0], 3) for r in pairs.select(imatch.likeness(pairs.a, pairs.b)).collect()] == [0.0, 0.0, 1.0]
+
+
 def test_near_duplicate_groups(spark):
     rng = random.Random(11)
     rows = corpus(4)
