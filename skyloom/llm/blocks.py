@@ -26,6 +26,12 @@ BLOCK_BYTES = 3 << 20
 SLICE_KEYS = 1_000_000
 """Keys a slice aims at."""
 
+GROWS_FROM = 64 << 30
+"""Bytes of text from which blocks and slices grow."""
+
+SAMPLES = 64
+"""Keys per block that place the blocks' boundaries."""
+
 FRAGMENT = "block int, slice int, payload binary"
 
 
@@ -35,27 +41,46 @@ def text_stats(docs: DataFrame, text: str) -> tuple[int, int]:
     return int(row["n"] or 0), int(row["b"] or 0)
 
 
+def growth(size: int) -> float:
+    """By how much blocks and slices are larger than usual over an input of so many bytes: beyond GROWS_FROM both grow with
+    the square root of the input, so that a fragment keeps its size and there are as many fragments a byte as before."""
+    return max(1.0, math.sqrt(size / GROWS_FROM))
+
+
 def with_block(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int, int]:
-    """Adds `block`, a range of `key` (smaller keys, smaller blocks; null counts as the smallest).
+    """Adds `block`, a range of `key` (smaller keys, smaller blocks; null counts as the smallest). A key that has the rows of
+    several blocks is dealt to as many by a hash of the text.
 
-    Returns the frame, the number of blocks and the bytes of text. The driver holds one boundary per block, no keys.
+    Returns the frame, the number of blocks and the bytes of text. The driver holds one boundary per block (they come from
+    SAMPLES keys per block; where they lie changes no result), and the plan holds them as one literal.
     """
     n, size = text_stats(docs, text)
-    blocks = max(1, min(n, math.ceil(size / block_bytes)))
+    blocks = max(1, min(n, math.ceil(size / (block_bytes * growth(size)))))
     if blocks == 1:
         return docs.withColumn("block", F.lit(0)), 1, size
-    cuts = docs.agg(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], blocks * 20).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []))
+    value = F.coalesce(docs[key].cast("long"), F.lit(-(1 << 63)))
+    keys = docs.select(value.alias("k"))
+    if SAMPLES * blocks < n:
+        keys = keys.sample(SAMPLES * blocks / n, 0)
+    found = keys.agg(F.percentile_approx("k", F.lit(np.arange(1, blocks) / blocks), SAMPLES * blocks)).first()[0]
+    cuts = np.array(found or [0], np.int64)
     # two levels of at most sqrt(blocks) comparisons each, instead of one scan of all boundaries for each row
     step = max(1, math.isqrt(len(cuts)))
-    coarse, value = cuts[step::step], F.coalesce(F.col(key), F.lit(-(1 << 63)))
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in coarse]), lambda c: c < value)) if coarse else F.lit(0)
-    fine = F.size(F.filter(F.slice(F.array(*[F.lit(c) for c in cuts]), F.col("_at") * step + 1, F.lit(step)), lambda c: c < value))
-    return docs.withColumn("_at", at).withColumn("block", (F.col("_at") * step + fine).cast("int")).drop("_at"), blocks, size
-
-
-def slices_for(keys: float) -> int:
-    return max(8, math.ceil(keys / SLICE_KEYS))
+    coarse = cuts[step::step]
+    at = F.size(F.filter(F.lit(coarse), lambda c: c < value)) if len(coarse) else F.lit(0)
+    fine = F.size(F.filter(F.slice(F.lit(cuts), F.col("_at") * step + 1, F.lit(step)), lambda c: c < value))
+    block = F.col("_at") * step + fine
+    often, times = np.unique(cuts, return_counts=True)
+    if (times > 1).any():
+        nth = F.array_position(F.lit(often[times > 1]), value)
+        parts = F.element_at(F.lit(times[times > 1].astype(np.int64)), F.greatest(nth, F.lit(1)).cast("int"))
+        block = block + F.when(nth > 0, F.pmod(F.xxhash64(text), parts)).otherwise(0)
+    return docs.withColumn("_at", at).withColumn("block", block.cast("int")).drop("_at"), blocks, size
+
+
+def slices_for(keys: float, size: int = 0) -> int:
+    """Slices of so many keys, of an input of so many bytes."""
+    return max(8, math.ceil(keys / (SLICE_KEYS * growth(size))))
 
 
 # --- packed arrays -------------------------------------------------------------------------------------------------

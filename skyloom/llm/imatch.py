@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,11 +54,10 @@ def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = IDF
     bit = F.expr("shiftleft(1L, cast(bucket & 63 as int))")
     # at most 2**(BUCKET_BITS - 6) numbers come to the driver, whatever the corpus
     rows = kept.groupBy(F.shiftright("bucket", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).collect()
-    sc = docs.sparkSession.sparkContext
-    array = sc._gateway.new_array(sc._jvm.long, 1 << (BUCKET_BITS - 6))
+    bitmap = np.zeros(1 << (BUCKET_BITS - 6), np.int64)
     for r in rows:
-        array[r["at"]] = r["bits"]
-    return Column(sc._jvm.org.apache.spark.sql.functions.lit(array))
+        bitmap[r["at"]] = r["bits"]
+    return F.lit(bitmap)
 
 
 def fingerprint(text: Column, lexicon_: Column) -> Column:
@@ -121,10 +121,10 @@ def compare_with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     order = F.coalesce("doc_id", F.lit(-(1 << 63)))
     heads = sorted((r["block"], r["head"]) for r in blocked.groupBy("block").agg(F.max(order).alias("head")).collect())
     # the head of each block also closes the block above; that of the highest closes the lowest
-    to = [(head, heads[(i + 1) % len(heads)][0]) for i, (_, head) in enumerate(heads)]
-    closing = docs.sparkSession.createDataFrame(to, "head long, block int")
+    to = [(own, head, heads[(i + 1) % len(heads)][0]) for i, (own, head) in enumerate(heads)]
+    closing = docs.sparkSession.createDataFrame(to, "own int, head long, closed int")
     rows = blocked.select("doc_id", "text", "block", F.lit(0).alias("closes"))
-    ends = base.join(F.broadcast(closing), order == F.col("head")).select("doc_id", "text", "block", F.lit(1).alias("closes"))
+    ends = blocked.join(F.broadcast(closing), (order == F.col("head")) & (F.col("block") == F.col("own"))).select("doc_id", "text", F.col("closed").alias("block"), F.lit(1).alias("closes"))
     marked = rows.unionAll(ends).withColumn("fp", fingerprint(F.col("text"), lexicon_))
     w = Window.partitionBy("block").orderBy("closes", F.coalesce("doc_id", F.lit(-(1 << 63))).desc(), F.col("text").desc())
     placed = marked.withColumn("next", F.lead("text").over(w)).withColumn("next_fp", F.lead("fp").over(w)).where("closes = 0")

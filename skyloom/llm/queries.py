@@ -42,9 +42,9 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from skyloom.llm.suffix_dedup import remove_repeated_strings
+    from skyloom.llm.suffix_dedup import PASSAGE, remove_repeated_strings
 
-    return remove_repeated_strings(_table(spark, sf_dir, "documents"))
+    return remove_repeated_strings(_table(spark, sf_dir, "documents"), passage=PASSAGE)
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,13 +79,13 @@ def remove_repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str =
     same text). Returns doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
     Null or empty texts have no words (n_words 0, the hash of the empty string). Rows with the same id are taken in
-    order of their text; a null id counts as the smallest. Tables may be empty; other columns are not read. A text of
+    order of their block, chosen by a hash of the text where one id has several, and then of their text; a null id counts as the smallest. Tables may be empty; other columns are not read. A text of
     fewer than `window` words keeps every word. Texts of any length are hashed in chunks of about a megabyte.
     """
     base = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     blocked, _, size = B.with_block(base, "doc_id", "text")
     expected = max(1.0, size / 6)
-    bits, slices = max(20, int(expected * width).bit_length()), B.slices_for(expected)
+    bits, slices = max(20, int(expected * width).bit_length()), B.slices_for(expected, size)
     multipliers = [np.uint64(1)] + [np.uint64(2 * m + 1) for m in range(0x51ED270B, 0x51ED270B + rows - 1)]
 
     def cells(key: np.ndarray, row: int) -> np.ndarray:

@@ -15,6 +15,9 @@ that repeat, that order is needed to depth `length` only, and only up to equalit
 
 Each step is one block exchange (skyloom.llm.blocks): truncated suffixes are sorted and compared by 96-bit
 fingerprints in slices; there is no corpus-wide array in one place.
+
+With `keep_first` a string counts as repeated only where it also starts earlier, so its first occurrence stays: the same
+steps, but that a key is marked in the blocks after the first that has it, and in a block from its second occurrence on.
 """
 
 from __future__ import annotations
@@ -36,7 +39,11 @@ PHRASE_BITS = 5
 """A phrase is 2**PHRASE_BITS bytes long on average."""
 WIDTH = 32
 """Sketch cells per expected phrase."""
+PASSAGE = 128
+"""Bytes of the shorter repeats that are counted, not removed."""
 CHUNK = 1 << 20
+_SHORT = np.uint64(0x5851F42D4C957F2D)
+"""Tells keys of the shorter repeats from those of truncated suffixes."""
 KIND = 1 << 24
 """Slices of the exchanges' answers are told apart by multiples of this."""
 
@@ -60,11 +67,12 @@ def range_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, second: bool
 
 
 class Parse:
-    """The documents of a block as one byte string, with the triggers of each document."""
+    """The documents of a block as one byte string, in order of (doc_id, text), with the triggers of each document."""
 
     def __init__(self, table: pa.Table, length: int):
-        self.ids = table["doc_id"].to_pylist()
-        texts = [t or b"" for t in table["text"].cast(pa.binary()).to_pylist()]
+        ids, texts = table["doc_id"].to_pylist(), [t or b"" for t in table["text"].cast(pa.binary()).to_pylist()]
+        self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
+        self.ids, texts = [ids[i] for i in self.order], [texts[i] for i in self.order]
         self.length, self.data = length, b"".join(texts)
         self.bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         n, found = len(self.data), []
@@ -81,10 +89,11 @@ class Parse:
         self.phrase = np.flatnonzero(linked)
         self.start, self.end = self.trigger[self.phrase], self.trigger[self.phrase + 1] + TRIGGER
 
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+    def contexts(self, need: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Which phrases have a truncated parse suffix, and where it ends: it covers `length` bytes from each start in
-        [start, next trigger)."""
-        need = self.trigger[self.phrase + 1] - 1 + self.length
+        [start, next trigger), or all bytes before `need`."""
+        if need is None:
+            need = self.trigger[self.phrase + 1] - 1 + self.length
         last = np.searchsorted(self.trigger, need - TRIGGER)
         ok = last < len(self.trigger)
         ok[ok] &= self.doc[last[ok]] == self.doc[self.phrase[ok]]
@@ -114,6 +123,15 @@ class Parse:
         return np.cumsum(steps[:-1], dtype=np.int32) > 0
 
 
+def repeats_of(key: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Which of the pairs, in order, were there before."""
+    order = np.lexsort((more, key))  # stable: equal pairs stay in order
+    k, m = key[order], more[order]
+    out = np.zeros(len(key), bool)
+    out[order[1:]] = (k[1:] == k[:-1]) & (m[1:] == m[:-1])
+    return out
+
+
 def _union(*answers: DataFrame) -> DataFrame:
     out = None
     for kind, df in enumerate(answers):
@@ -126,20 +144,31 @@ def _kind(back: pa.Table, kind: int) -> pa.Table:
     return back.filter(pa.array(np.asarray(back["slice"]) // KIND == kind, pa.bool_())) if back.num_rows else back
 
 
-def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, with_text: bool = False, keep: list[str] | None = None) -> DataFrame:
+RESULT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated", "kept_text")
+
+
+def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, with_text: bool = False, keep: list[str] | None = None, keep_first: bool = False, passage: int | None = None) -> DataFrame:
     """Removes each byte (UTF-8) that a `length`-byte string covers which also starts anywhere else, in the same text or
-    in another. Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text (bytes of a
-    character that was cut are left out of it) and the columns in `keep`.
+    in another; with keep_first, each that one covers which also starts earlier (smaller id, or earlier in the same text).
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, n_repeated, kept_text (bytes of a
+    character that was cut are left out of it) and the columns in `keep`, but those that are named like a result.
+
+    n_repeated tells of shorter repeats, which are not removed: the bytes of runs of whole phrases, `passage` bytes long or
+    more, that also occur elsewhere (a repeated string holds such a run but for some 30 bytes at each end).
 
     Null texts count as empty; texts shorter than `length` keep every byte. Repeated rows are separate texts, so long
-    ones remove each other whole. Empty tables give empty results; other columns are not read. Trigger-free stretches
-    of any length are settled by step 3, start by start.
+    ones remove each other whole, or all but one with keep_first. Of rows with one id those of a smaller text come first
+    within a block, blocks being chosen by a hash of the text; a null id counts as the smallest. Empty tables give empty
+    results; other columns are not read. Trigger-free stretches of any length are settled by step 3, start by start.
     """
-    keep = [c for c in keep or [] if c not in (doc_id, text)]
-    base = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), *[docs[c] for c in keep])
+    if passage is not None and keep_first:
+        raise ValueError("shorter repeats are counted whether they are the first or not")
+    keep = [c for c in keep or [] if c not in (doc_id, text, *RESULT)]
+    kept_as = {c: f"kept_{i}" for i, c in enumerate(keep)}  # names that clash with none of those used here
+    base = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), *[docs[c].alias(a) for c, a in kept_as.items()])
     blocked, _, size = B.with_block(base, "doc_id", "text")
     expected = max(1.0, size / 2**PHRASE_BITS)
-    bits, slices = max(20, int(expected * WIDTH).bit_length()), B.slices_for(expected)
+    bits, slices = max(20, int(expected * WIDTH).bit_length()), B.slices_for(expected, size)
     low = np.uint64(64 - bits)
 
     def cells(p: Parse) -> np.ndarray:
@@ -152,35 +181,51 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
         own = own[keep]
         return B.fragments(table["block"][0].as_py(), slices, own << low, lambda i, j: B.pack_sorted(own[i:j]))
 
-    def sent(block: int, key: np.ndarray, more: np.ndarray) -> pa.Table:
-        """Each key once, or twice where the block has it several times."""
+    def sent(block: int, key: np.ndarray, more: np.ndarray, times: int = 2) -> pa.Table:
+        """Each key once, or twice where the block has it several times and that matters."""
         order = np.lexsort((more, key))
         key, more = key[order], more[order]
         keep = np.ones(len(key), bool)
-        keep[2:] = (key[2:] != key[:-2]) | (more[2:] != more[:-2])
+        keep[times:] = (key[times:] != key[:-times]) | (more[times:] != more[:-times])
         key, more = key[keep], more[keep]
         return B.fragments(block, slices, key, lambda i, j: B.pack_pairs(key[i:j], more[i:j]))
 
-    def contexts_of(p: Parse, back: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(is each phrase estimated repeated, phrases whose truncated suffix has such phrases only, their keys)"""
-        repeated = B.isin_sorted(cells(p), B.gathered(_kind(back, 0)))
-        which, end = p.contexts()
+    def marked(key: np.ndarray, more: np.ndarray, back: pa.Table, kind: int) -> np.ndarray:
+        """Which keys of a block, in the order of their places, occur elsewhere (or earlier)."""
+        out = B.isin_pairs(key, more, *B.gathered_pairs(_kind(back, kind)))
+        return out | repeats_of(key, more) if keep_first else out
+
+    def contexts_of(p: Parse, repeated: np.ndarray, need: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases whose truncated suffix has only phrases that are estimated repeated, and where it ends."""
+        which, end = p.contexts(need)
         bad = np.concatenate([[0], np.cumsum(~repeated)])
         inside = np.searchsorted(p.end, end, "right")
         ok = bad[inside] == bad[which]
-        which, end = which[ok], end[ok]
-        return (repeated, which, *range_hashes(p.data, p.start[which], end))
+        return which[ok], end[ok]
+
+    def short_runs(p: Parse, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, key, more) of the runs of whole phrases that are the shorter repeats."""
+        which, end = contexts_of(p, repeated, p.start + passage)
+        key, more = range_hashes(p.data, p.start[which], end)
+        return p.start[which], end, key ^ _SHORT, more
 
     def parse_order(table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows or not back.num_rows:
             return sent(0, np.empty(0, np.uint64), np.empty(0, np.uint32))
-        _, _, key, more = contexts_of(Parse(table, length), back)
-        return sent(table["block"][0].as_py(), key, more)
+        p = Parse(table, length)
+        repeated = B.isin_sorted(cells(p), B.gathered(_kind(back, 0)))
+        which, end = contexts_of(p, repeated)
+        key, more = range_hashes(p.data, p.start[which], end)
+        if passage is not None:
+            _, _, k, m = short_runs(p, repeated)
+            key, more = np.concatenate([key, k]), np.concatenate([more, m])
+        return sent(table["block"][0].as_py(), key, more, times)
 
     def settle(p: Parse, back: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """(starts that repeat by step 2, starts left for step 3), both as masks."""
-        repeated, which, key, more = contexts_of(p, back)
-        hit = which[B.isin_pairs(key, more, *B.gathered_pairs(_kind(back, 1)))]
+        repeated = B.isin_sorted(cells(p), B.gathered(_kind(back, 0)))
+        which, end = contexts_of(p, repeated)
+        hit = which[marked(*range_hashes(p.data, p.start[which], end), back, 1)]
         settled = p.marks(p.start[hit], p.trigger[p.phrase[hit] + 1])
         lo, hi = p.bounds[:-1], p.bounds[1:] - length + 1
         left = p.marks(lo[hi > lo], hi[hi > lo]) & ~settled
@@ -200,26 +245,36 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
         open_ = np.logical_or.reduceat(left[at], first) if len(first) else np.empty(0, bool)
         return sent(table["block"][0].as_py(), key[full], ((more & ~np.uint32(1)) | open_)[full])
 
+    def compared(p: Parse, back: pa.Table, possible: np.ndarray) -> np.ndarray:
+        """The starts that step 3 compares: those whose run of whole phrases is that of a start that is left."""
+        at, first, full, key, more = p.runs(possible)
+        keys, flags = B.gathered_pairs(_kind(back, 2))
+        asked = ~full | B.isin_pairs(key, more & ~np.uint32(1), keys, flags & ~np.uint32(1))
+        return at[np.repeat(asked, np.diff(np.append(first, len(at))))]
+
     def offsets(table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows:
             return sent(0, np.empty(0, np.uint64), np.empty(0, np.uint32))
         p = Parse(table, length)
         settled, left = settle(p, back)
-        at, first, full, key, more = p.runs(settled | left)
-        keys, flags = B.gathered_pairs(_kind(back, 2))
-        asked = ~full | B.isin_pairs(key, more & ~np.uint32(1), keys, flags & ~np.uint32(1))
-        at = at[np.repeat(asked, np.diff(np.append(first, len(at))))]
-        return sent(table["block"][0].as_py(), *range_hashes(p.data, at, at + length))
+        at = compared(p, back, settled | left)
+        return sent(table["block"][0].as_py(), *range_hashes(p.data, at, at + length), times)
 
     def remove(table: pa.Table, back: pa.Table) -> pa.Table:
         p = Parse(table, length)
         settled, left = settle(p, back)
-        at = np.flatnonzero(left)
-        settled[at[B.isin_pairs(*range_hashes(p.data, at, at + length), *B.gathered_pairs(_kind(back, 3)))]] = True
+        # in a block the first occurrence may be a start that is settled
+        at = compared(p, back, settled | left) if keep_first else np.flatnonzero(left)
+        settled[at[marked(*range_hashes(p.data, at, at + length), back, 3)]] = True
         at = np.flatnonzero(settled)
         gone = p.marks(at, at + length)
+        short = None
+        if passage is not None:
+            start, end, key, more = short_runs(p, B.isin_sorted(cells(p), B.gathered(_kind(back, 0))))
+            hit = marked(key, more, back, 1)
+            short = np.concatenate([[0], np.cumsum(p.marks(start[hit], end[hit]))])
         view = memoryview(p.data)
-        out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+        out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []} | ({} if short is None else {"n_repeated": []})
         kept_text = []
         for a, b in zip(p.bounds[:-1].tolist(), p.bounds[1:].tolist(), strict=True):
             g = np.concatenate([[False], gone[a:b], [False]])
@@ -230,18 +285,24 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
             out["n_removed"].append(b - a - len(kept))
             out["n_spans"].append(len(edges) // 2)
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+            if short is not None:
+                out["n_repeated"].append(int(short[b] - short[a]))
             if with_text:
                 kept_text.append(kept.decode("utf-8", "ignore"))
         cols = {"doc_id": pa.array(p.ids, pa.int64())} | {k: pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items()}
-        return pa.table(cols | ({"kept_text": pa.array(kept_text, pa.string())} if with_text else {}) | {c: table[c] for c in keep})
+        return pa.table(cols | ({"kept_text": pa.array(kept_text, pa.string())} if with_text else {}) | {a: table[a].take(pa.array(p.order, pa.int64())) for a in kept_as.values()})
+
+    times, rule = (1, "later") if keep_first else (2, "shared")
 
     by_block = blocked.groupBy("block")
     dictionary = B.merge_cells(by_block.applyInArrow(trimmed(sketch), B.FRAGMENT))
-    ordered = B.merge_pairs(by_block.cogroup(_union(dictionary).groupBy("block")).applyInArrow(trimmed(parse_order), B.FRAGMENT), "shared")
+    ordered = B.merge_pairs(by_block.cogroup(_union(dictionary).groupBy("block")).applyInArrow(trimmed(parse_order), B.FRAGMENT), rule)
     asked = B.merge_pairs(by_block.cogroup(_union(dictionary, ordered).groupBy("block")).applyInArrow(trimmed(runs), B.FRAGMENT), "asked")
-    single = B.merge_pairs(by_block.cogroup(_union(dictionary, ordered, asked).groupBy("block")).applyInArrow(trimmed(offsets), B.FRAGMENT), "shared")
+    single = B.merge_pairs(by_block.cogroup(_union(dictionary, ordered, asked).groupBy("block")).applyInArrow(trimmed(offsets), B.FRAGMENT), rule)
     answers = _union(dictionary, ordered, asked, single)
-    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text string" if with_text else ""))
-    for c in keep:
-        schema = schema.add(base.schema[c])
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(trimmed(remove), schema)
+    schema = StructType.fromDDL("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", n_repeated long" if passage is not None else "") + (", kept_text string" if with_text else ""))
+    own = [*schema.names]
+    for c, a in kept_as.items():
+        schema = schema.add(a, base.schema[a].dataType)
+    found = by_block.cogroup(answers.groupBy("block")).applyInArrow(trimmed(remove), schema)
+    return found.select(*own, *[F.col(a).alias(c) for c, a in kept_as.items()])

@@ -102,6 +102,70 @@ def test_suffix_dedup(spark, small_blocks, seed):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()), i
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_suffix_dedup_keeps_the_first(spark, small_blocks, seed):
+    rows, length = corpus(seed), 100
+    rows += [(i + 500, t) for i, t in rows[5:12]]  # whole copies, in other blocks
+    rows += [(900, "first " + "x1 y2 z3 " * 60), (901, "x1 y2 z3 " * 70)]
+    got = by_id(suffix_dedup.remove_repeated_strings(frame(spark, rows), length=length, keep_first=True, with_text=True))
+    seen: set[bytes] = set()
+    for i, t in sorted(rows):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - length + 1):
+            if b[s : s + length] in seen:
+                gone[s : s + length] = True
+            seen.add(b[s : s + length])
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["kept_text"]) == (len(b), int(gone.sum()), kept.decode("utf-8", "ignore")), i
+
+
+def test_shorter_repeats_are_counted(spark, small_blocks):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = " ".join(word() for _ in range(51))
+    rows = [(i, " ".join([word() for _ in range(60)] + ([passage] if i % 3 == 0 else []) + [word() for _ in range(60)])) for i in range(30)]
+    plain = by_id(suffix_dedup.remove_repeated_strings(frame(spark, rows), length=600))
+    got = by_id(suffix_dedup.remove_repeated_strings(frame(spark, rows), length=600, passage=suffix_dedup.PASSAGE))
+    for i, _ in rows:
+        assert got[i]["n_removed"] == plain[i]["n_removed"] == 0 and got[i]["kept_sha256"] == plain[i]["kept_sha256"]
+        assert got[i]["n_repeated"] == 0 if i % 3 else 150 < got[i]["n_repeated"] <= len(passage) + 2
+    assert len({got[i]["n_repeated"] for i in range(0, 30, 3)}) == 1
+
+
+def test_rows_of_one_id_are_several_blocks(spark):
+    rng = random.Random(9)
+    shared = " ".join(f"s{rng.randrange(900)}" for _ in range(80))
+    rows = [(7 if i % 3 else None if i % 2 else i, " ".join(f"w{rng.randrange(900)}" for _ in range(150)) + (" " + shared if i % 4 == 0 else "")) for i in range(120)]
+    blocked, n, _ = B.with_block(frame(spark, rows), "doc_id", "text", 4000)
+    placed = blocked.select("doc_id", "block").collect()
+    assert n > 10 and len({r["block"] for r in placed if r["doc_id"] == 7}) > 4
+    last: dict = {}
+    for r in placed:
+        k = -1 if r["doc_id"] is None else r["doc_id"]
+        a, b = last.get(k, (r["block"], r["block"]))
+        last[k] = (min(a, r["block"]), max(b, r["block"]))
+    ends = [last[k] for k in sorted(last)]
+    assert all(b <= c for (_, b), (c, _) in zip(ends, ends[1:]))
+
+
+def test_rows_of_one_id_lose_all_repeats_but_one(spark, small_blocks):
+    rng = random.Random(9)
+    shared = " ".join(f"s{rng.randrange(900)}" for _ in range(80))
+    rows = [(7, " ".join(f"w{rng.randrange(900)}" for _ in range(150)) + " " + shared) for i in range(60)]
+    got = suffix_dedup.remove_repeated_strings(frame(spark, rows), length=200, keep_first=True, with_text=True).collect()
+    assert sum(shared in r["kept_text"] for r in got) == 1
+    got = substring_dedup.remove_repeated_windows(frame(spark, rows), with_text=True).collect()
+    assert sum(shared in r["kept_text"] for r in got) == 1
+
+
+def test_kept_columns_may_clash(spark):
+    rows = [(1, "abc " * 200, "a", "b", 5), (2, "xyz", "c", "d", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, block string, slice string, n_bytes long")
+    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeated_strings(df, keep=["block", "slice", "n_bytes"]).collect()}
+    assert (got[1]["block"], got[1]["slice"], got[2]["block"], got[2]["n_bytes"]) == ("a", "b", "c", 3)
+
+
 def test_repeated_rows_and_ids(spark):
     rows = [(1, "a b c " * 80), (1, "a b c " * 80), (None, "x y"), (2, "q")]
     got = substring_dedup.remove_repeated_windows(frame(spark, rows))
