@@ -20,6 +20,9 @@ from skyloom.llm.suffix_dedup import remove_repeated_strings
 from skyloom.session import importable
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+PASSAGE_BYTES = 200
+"""A passage of over 50 words has as many bytes: of the repeated runs of 51 words and more in the test tables 99 % have 192 or
+more, half of them 467."""
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +53,11 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every string of 400 bytes that occurs again out of the texts. All documents stay, with an empty text where
-    nothing else was in it, and with their lang and source; n_chars is the length of the text that is left (what is left
-    of a character that was cut goes with it)."""
-    kept = remove_repeated_strings(docs, with_text=True, keep=["lang", "source"])
+    """Cuts every string of PASSAGE_BYTES that also starts earlier (in a document of a smaller id, or earlier in the same
+    one) out of the texts, so that of a passage that documents share one occurrence stays. All documents stay, with an
+    empty text where nothing else was in it, and with their lang and source; n_chars is the length of the text that is
+    left (what is left of a character that was cut goes with it)."""
+    kept = remove_repeated_strings(docs, length=PASSAGE_BYTES, with_text=True, keep=["lang", "source"], keep_first=True)
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 
