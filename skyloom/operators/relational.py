@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyloom.session import cut
+
 
 def first_per_key(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
     """The first row of each key. Rows of a hot key are ranked where they lie before the shuffle (window group limit)."""
@@ -44,12 +46,15 @@ def latest_status(relations: DataFrame, feedback: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, start: int, *order: str | Column, name: str = "id") -> DataFrame:
-    """df with ids from `start`, in the order given: partitions are sorted by range, and each adds the rows of those
-    before it (one count per partition is all that meets in one place)."""
-    spark_order = [c if isinstance(c, Column) else F.col(c) for c in order]
-    parted = df.repartitionByRange(*spark_order).sortWithinPartitions(*spark_order).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(*spark_order)
-    ranked = parted.withColumn("_rank", F.row_number().over(w))
-    sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranked.join(before.select("_part", "_before"), "_part").withColumn(name, F.lit(start) + F.col("_before") + F.col("_rank") - 1).drop("_part", "_rank", "_before")
+    """df with ids from `start`, in the order given, gapless and unique; ties are in some order.
+
+    Rows are sorted by range, and the place of each in its partition is checkpointed with it: partition numbers mean the
+    same rows in all that follows. Each partition adds the rows of those before it (one count a partition is all that
+    meets in one place and is broadcast).
+    """
+    columns = [c if isinstance(c, Column) else F.col(c) for c in order]
+    placed = cut(df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_at", F.monotonically_increasing_id()))
+    part, rank = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(before), part == F.col("_part")).withColumn(name, F.lit(start) + F.col("_before") + rank).drop("_at", "_part", "_before")

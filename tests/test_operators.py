@@ -27,6 +27,27 @@ def test_numbered_is_gapless(spark):
     assert [(r["id"], r["k"]) for r in got] == [(5 + i, i) for i in range(1000)]
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbered_loses_no_wide_rows(spark, adaptive):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        texts = spark.range(10_000).select("id", F.repeat(F.sha2(F.col("id").cast("string"), 256), 40).alias("text"), (F.col("id") * 7919 % 500).alias("k")).withColumnRenamed("id", "own")
+        wide = spark.range(400_000).select(F.col("id").alias("own"), (F.col("id") * 7919 % 90_001).alias("k"), *[F.xxhash64("id", F.lit(i)).alias(f"c{i}") for i in range(8)])
+        for df, n in ((texts, 10_000), (wide, 400_000)):
+            got = relational.numbered(df, 1, "k", "own")
+            row = got.agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("z"), F.countDistinct("id").alias("d"), F.countDistinct("own").alias("o")).first()
+            assert tuple(row) == (n, 1, n, n, n)
+            pairs = got.alias("a").join(got.alias("b"), F.col("a.id") + 1 == F.col("b.id"))
+            assert pairs.where("struct(a.k, a.own) >= struct(b.k, b.own)").isEmpty() and got.columns[-1] == "id"
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_numbered_of_no_rows(spark):
+    assert relational.numbered(spark.range(0).withColumnRenamed("id", "k"), 1, "k").count() == 0
+
+
 def test_latest_status(spark):
     relations = spark.createDataFrame([(1, "review"), (2, "auto"), (3, "auto")], "id long, status string")
     feedback = spark.createDataFrame([(1, "event_relation", 1, "confirm"), (2, "event_relation", 1, "reject"), (3, "event_relation", 2, "bad"), (4, "brief_item", 3, "reject")], "id long, kind string, target_id long, rating string")
