@@ -1,7 +1,8 @@
 """Command line: python -m skyloom.cli [--store DIR] [--sources FILE] COMMAND
 
-run, fetch, sources (list, add, enable, disable, check), stats, feedback (add, list). Schedule it with cron or the like.
-Exit codes: 0 done, 1 something failed (a source's check, a verdict on an unknown relation), 2 a wrong id.
+run, fetch, sources (list, add, enable, disable, check), stats, feedback (add, list), schedule (install, remove, show), backend.
+Exit codes: 0 done, 1 something failed (a source's check, a verdict on an unknown relation, the scheduler, the language
+model), 2 a wrong id.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.plans import backends, daily
+from skyloom.plans import backends, daily, schedule
 from skyloom.plans.store import Store
 from skyloom.schemas import FEEDBACK_KINDS, RATINGS
 from skyloom.session import cut, importable
@@ -54,9 +55,28 @@ def parser() -> argparse.ArgumentParser:
     told = f.add_parser("list")
     told.add_argument("--kind", choices=FEEDBACK_KINDS)
     told.add_argument("--limit", type=int, default=20)
+    when = commands.add_parser("schedule", help="the daily run by cron or the Windows scheduler").add_subparsers(dest="action", required=True)
+    for name in ("install", "remove", "show"):
+        one = when.add_parser(name)
+        one.add_argument("--name", default=schedule.NAME)
+        if name == "install":
+            one.add_argument("--time", default="07:00")
+            one.add_argument("--arguments", default="", help="more arguments of the run")
+    commands.add_parser("backend", help="asks the configured language model one question")
     return p
 
 
+def check_backend(backend) -> int:
+    """Whether the language model answers a screening question as the run needs it."""
+    if backend is None:
+        print("no language model is configured; the rules judge")
+        return 0
+    cards = [{"id": 1, "title": "Earthquake shakes the capital", "text": "Rescue teams are on their way."}, {"id": 2, "title": "A recipe for plum cake", "text": "With almonds."}]
+    got = backends.screened(backend, cards)
+    print(f"{backend.name} {backend.model}: " + ("no usable answer" if got is None else "; ".join(f"#{r['id']} relevant={r['relevant']} topic={r['topic']} severity={r['severity']}" for r in got)))
+    return int(got is None)
+
+
 def edit_sources(args: argparse.Namespace) -> int:
     """The commands on the source list that need no Spark."""
     known = config.load_sources(args.sources)
@@ -99,6 +119,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, now:
     args = parser().parse_args(argv)
     if args.command == "sources" and args.action != "check":
         return edit_sources(args)
+    if args.command == "schedule":
+        code, said = schedule.act(args.action, getattr(args, "time", "07:00"), arguments=getattr(args, "arguments", ""), name=args.name)
+        print(said)
+        return code
+    if args.command == "backend":
+        return check_backend(backends.from_environment(lambda name: config.load_prompt(args.prompts, name)))
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
     spark = importable(spark or SparkSession.builder.appName("skyloom").config("spark.sql.session.timeZone", "UTC").getOrCreate())
     store = Store(spark, args.store)

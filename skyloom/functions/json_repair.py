@@ -10,45 +10,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-_NEXT = re.compile(r"[ \t\r\n]*(.?)", re.S)
+_SPLIT = ("Expecting ',' delimiter", "Expecting ':' delimiter", "Expecting property name enclosed in double quotes", "Expecting value", "Illegal trailing comma")
+"""How a parser complains of the text after a quote that ended a string too early."""
 
 
-def escape_inner_quotes(s: str) -> str:
-    """Escapes double quotes inside string values: a quote ends its string only before , } ] : or the end."""
-    out, inside, i = [], False, 0
-    while i < len(s):
-        c = s[i]
-        if inside and c == "\\" and i + 1 < len(s):
-            out.append(s[i : i + 2])
-            i += 2
-            continue
-        if c == '"':
-            following = _NEXT.match(s, i + 1)[1]
-            if inside and following and following not in ",}]:":
-                c = '\\"'
-            else:
-                inside = not inside
-        out.append(c)
-        i += 1
-    return "".join(out)
+def repaired(body: str) -> dict:
+    """The object in body; where the parser stumbles over text that follows a string's end, the quote that seemed to end the
+    string is part of it and is escaped. Each step escapes one more quote, so there are at most as many as quotes."""
+    for _ in range(body.count('"') + 1):
+        try:
+            return json.loads(body)
+        except json.JSONDecodeError as e:
+            quote = body.rfind('"', 0, e.pos)
+            if quote <= 0 or body[quote - 1] == "\\" or not e.msg.startswith(_SPLIT):
+                raise
+            body = f'{body[:quote]}\\"{body[quote + 1 :]}'
+    raise ValueError("no JSON object after all repairs")
 
 
 def extract_json(text: str, repair: bool = False) -> dict:
-    """The object in a model's answer: what it thought, code fences and text around the outermost braces are dropped."""
-    body = text.strip().rpartition("</think>")[2].strip()
-    if body.startswith("```"):
-        body = body.strip("`")
-        body = body[4:] if body[:4].lower() == "json" else body
-    first, last = body.find("{"), body.rfind("}")
-    if not 0 <= first < last:
-        raise ValueError(f"no JSON object in {text[:200]!r}")
-    body = body[first : last + 1]
-    try:
-        return json.loads(body)
-    except ValueError:
-        if repair:
-            return json.loads(escape_inner_quotes(body))
-        raise
+    """The object in a model's answer: its thoughts and whatever surrounds the outermost braces are left out."""
+    answer = re.search(r"\{.*\}", text.rpartition("</think>")[2], re.S)
+    if answer is None:
+        raise ValueError(f"an answer without a JSON object: {text.strip()[:200]!r}")
+    return (repaired if repair else json.loads)(answer[0])
 
 
 @F.pandas_udf(StringType())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import json
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,20 +34,19 @@ class Source:
         return cls(**{"name": str(values["id"])} | given)
 
 
+_SCALAR = re.compile(
+    r"""(?P<literal>'.*') | (?P<escaped>".*") | (?P<true>true|yes) | (?P<false>false|no) | (?P<none>null|~|)
+      | (?P<int>[+-]?\d+(_\d+)*) | (?P<float>[+-]?((\d+(_\d+)*)?\.?\d+(_\d+)*|\d+(_\d+)*\.)(e[+-]?\d+)?|[+-]?(inf|infinity|nan)) | (?P<plain>.*)""",
+    re.I | re.S | re.X,
+)
+_READ = {"literal": lambda t: t[1:-1], "true": lambda t: True, "false": lambda t: False, "none": lambda t: None, "int": int, "float": float, "plain": str}
+
+
 def scalar(text: str):
     """A value as written: quoted text, a boolean, null, a number or plain text."""
     t = text.strip()
-    if len(t) > 1 and t[0] == t[-1] and t[0] in "'\"":
-        return t[1:-1] if t[0] == "'" else _unquoted(t)
-    word = {"true": True, "yes": True, "false": False, "no": False, "null": None, "~": None, "": None}
-    if t.lower() in word:
-        return word[t.lower()]
-    for number in (int, float):
-        try:
-            return number(t)
-        except ValueError:
-            continue
-    return t
+    kind = next(k for k, v in _SCALAR.fullmatch(t).groupdict().items() if v is not None)
+    return _READ.get(kind, _unquoted)(t)
 
 
 def _unquoted(t: str) -> str:
@@ -125,9 +125,11 @@ def load_env(path: str | Path) -> dict[str, str]:
     return new
 
 
+def filled(template: str, values: dict[str, str]) -> str:
+    """A template with {{ name }} replaced by the values; other braces stay."""
+    return re.sub(r"\{\{ ?(\w+) ?\}\}", lambda m: str(values.get(m[1], m[0])), template)
+
+
 def load_prompt(folder: str | Path, name: str, **values: str) -> str:
-    """A template with {{ name }} replaced by the values."""
-    text = Path(folder, f"{name}.md.j2").read_text(encoding="utf-8")
-    for k, v in values.items():
-        text = text.replace("{{ " + k + " }}", v).replace("{{" + k + "}}", v)
-    return text
+    """The template of a name, filled with the values."""
+    return filled(Path(folder, f"{name}.md.j2").read_text(encoding="utf-8"), values)

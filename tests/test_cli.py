@@ -2,7 +2,12 @@ from __future__ import annotations
 
 import datetime as dt
 
+import subprocess
+
+import pytest
+
 from skyloom import cli
+from skyloom.plans import schedule
 from skyloom.plans.store import Store
 from skyloom.sources import config
 
@@ -40,3 +45,52 @@ def test_fetch_check_stats_feedback(spark, tmp_path, capsys):
     assert run("feedback", "add", "--kind", "source", "--target", "5", "--rating", "good", "--note", "n") == 0
     assert run("feedback", "list", "--kind", "source") == 0 and "note=n\ntotal=1" in capsys.readouterr().out
     assert run("stats") == 0 and "articles: 1" in capsys.readouterr().out
+
+
+def test_schedule_lines():
+    shell = schedule.command("/data/my news", "/usr/bin/python3", "--hours 48")
+    assert shell == "cd '/data/my news' && /usr/bin/python3 -m skyloom.cli run --hours 48 >> '/data/my news/daily_run.log' 2>&1"
+    line = schedule.cron_line("07:05", shell)
+    assert line.startswith("5 7 * * * cd ") and line.endswith("# skyloom-daily")
+    assert "\\%" in schedule.cron_line("07:05", "date +%F")
+    with pytest.raises(ValueError):
+        schedule.cron_line("25:00", shell)
+    other = "0 1 * * * backup\n"
+    once = schedule.with_line(other, line)
+    assert schedule.with_line(once, schedule.cron_line("08:00", shell)).count("skyloom.cli") == 1
+    assert schedule.with_line(once, None) == other and schedule.lines_of(once) == [line]
+    made = schedule.task_arguments("install", "07:00", schedule.command("D:/w", "py", windows=True), "daily")
+    assert made[:4] == ["schtasks", "/Create", "/TN", "daily"] and made[made.index("/ST") + 1] == "07:00" and '"D:/w"' in made[made.index("/TR") + 1]
+    assert schedule.task_arguments("remove", "", "")[1] == "/Delete" and schedule.task_arguments("show", "", "")[1] == "/Query"
+
+
+def test_schedule_by_crontab():
+    table = ["0 1 * * * backup\n"]
+
+    def run(args, input=None, **_):
+        if args[1] == "-":
+            table[0] = input
+        return subprocess.CompletedProcess(args, 0, table[0], "")
+
+    assert schedule.act("show", run=run)[0] == 1
+    assert schedule.act("install", "06:30", "/tmp", run=run)[0] == 0 and "30 6 * * *" in table[0] and "backup" in table[0]
+    assert schedule.act("show", run=run) == (0, schedule.lines_of(table[0])[0])
+    assert schedule.act("remove", run=run)[0] == 0 and table[0] == "0 1 * * * backup\n"
+
+    def none(*_, **__):
+        raise FileNotFoundError
+
+    assert schedule.act("install", run=none)[0] == 1
+
+
+def test_backend_command(capsys):
+    class Model:
+        name, model = "m", "x"
+
+        def complete(self, prompt, context):
+            return {"results": [{"id": 1, "relevant": True}, {"id": 2}]}
+
+    assert cli.check_backend(None) == 0 and cli.check_backend(Model()) == 0
+    assert "#1 relevant=True" in capsys.readouterr().out
+    Model.complete = lambda self, prompt, context: {}
+    assert cli.check_backend(Model()) == 1

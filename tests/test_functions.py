@@ -85,6 +85,11 @@ def test_parse_date(spark):
 def test_json_repair(spark):
     assert json_repair.extract_json('{"a": "He said "stop" loudly", "b": 1}', repair=True) == {"a": 'He said "stop" loudly', "b": 1}
     assert json_repair.extract_json('<think>{no}</think>```json\n{"a": 1}\n```') == {"a": 1}
+    assert json_repair.extract_json('{"a": ["x "y", z", "ok"], "b": "" in front", "c": "the "x": y"}', repair=True) == {"a": ['x "y", z', "ok"], "b": '" in front', "c": 'the "x": y'}
+    assert json_repair.extract_json('{"a": "already \\"fine\\" here"}', repair=True) == {"a": 'already "fine" here'}
+    for broken in ("nothing", "}{", '{"a": 1', '{"a": "line\nbreak"}', '{"a": }', '{"a": "open}'):
+        with pytest.raises(ValueError):
+            json_repair.extract_json(broken, repair=True)
     with pytest.raises(ValueError):
-        json_repair.extract_json("nothing")
+        json_repair.extract_json('{"a": "b "c" d"}')
     assert values(spark, json_repair.json_object, ['x {"a": "b "c" d"} y', "no"]) == ['{"a": "b \\"c\\" d"}', None]

@@ -158,6 +158,25 @@ def test_chat_backend_repairs_and_retries():
     assert b.complete("p", {"v": "1"}) == {"a": 'x "y" z'} and asked[0] == "p 1" and asked[1].startswith("p 1") and len(asked[1]) > 10
 
 
+def test_chat_backend_without_json_mode():
+    import urllib.error
+
+    b = backends.ChatBackend("k", "http://h/", "m", str)
+    seen = []
+
+    def post(payload):
+        seen.append("response_format" in payload)
+        if seen[-1]:
+            raise urllib.error.HTTPError("u", 422, "no", None, None)
+        return {"choices": [{"message": {"content": None, "reasoning_content": ' {"a": 1} '}}]}
+
+    b.post = post
+    assert b.complete("p", {}) == b.complete("p", {}) == {"a": 1} and seen == [True, False, False]
+    b.post = lambda payload: (_ for _ in ()).throw(urllib.error.HTTPError("u", 500, "no", None, None))
+    with pytest.raises(urllib.error.HTTPError):
+        b.complete("p", {})
+
+
 def test_a_failed_run_is_recorded(spark, tmp_path):
     store = Store(spark, str(tmp_path / "db"))
     with pytest.raises(Exception):
