@@ -9,7 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from skyloom.lexicon import ENTITIES, STOPWORDS
 
@@ -21,7 +21,7 @@ _LANGUAGES = (("ja", "kana", 0.05), ("zh", "cjk", 0.15), ("ko", "hangul", 0.15),
 def script_ratio(text: Column, ranges: str) -> Column:
     """Share of the text's characters in the ranges; 0 for null and empty texts."""
     t = F.coalesce(text, F.lit(""))
-    return F.char_length(F.regexp_replace(t, f"[^{ranges}]", "")) / F.greatest(F.char_length(t), F.lit(1))
+    return F.char_length(F.regexp_replace(t, f"[^{ranges}]+", "")) / F.greatest(F.char_length(t), F.lit(1))
 
 
 def detect_lang(text: Column) -> Column:
@@ -80,12 +80,12 @@ def keyword_pattern(keyword: str) -> str:
 
 
 def keyword_hits(text: Column, keywords: tuple[str, ...]) -> Column:
-    """How many different keywords occur."""
-    total = F.lit(0)
-    for k in keywords:
-        if k.strip():
-            total = total + F.coalesce(text, F.lit("")).rlike(keyword_pattern(k.strip())).cast("int")
-    return total
+    """How many different keywords occur. One pattern of all tells first whether any does; they are counted only then."""
+    patterns, text = [keyword_pattern(k.strip()) for k in keywords if k.strip()], F.coalesce(text, F.lit(""))
+    if not patterns:
+        return F.lit(0)
+    counts = [text.rlike(p).cast("int") for p in patterns]
+    return F.when(text.rlike("|".join(f"(?:{p})" for p in patterns)), sum(counts[1:], counts[0])).otherwise(0)
 
 
 def sentences(text: Column, n: int = 2, max_len: int = 220) -> Column:
@@ -124,6 +124,12 @@ def normalize_text(s: pd.Series) -> pd.Series:
     return s.map(normalized)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def normalize_texts(s: pd.Series) -> pd.Series:
+    """normalize_text of each text of an array; a null array is empty."""
+    return s.map(lambda texts: [] if texts is None else [normalized(t) for t in texts])
+
+
 def span_in(span: Column, haystack: Column) -> Column:
     """Whether a normalized span occurs in a normalized snapshot; spans of under 12 characters (6 with CJK) don't count."""
     least = F.when(span.rlike(f"[{CJK}]"), 6).otherwise(12)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skyloom.functions.dates import days_between
+from skyloom.session import cut
 from skyloom.functions.text import jaccard, sentences, span_in, normalize_text, snapshot_text, token_set
 
 NEAR_DUPLICATE = 0.60
@@ -20,6 +21,8 @@ WEIGHTS = {"entity": 0.45, "lexical": 0.25, "time": 0.15, "topic": 0.15}
 RELATION_TYPES = ("causal", "escalation", "de_escalation", "response", "background", "same_actor", "thematic_parallel")
 DIRECTED = ("causal", "escalation")
 AUTO = 0.7
+BROADCAST_PAST = 10_000
+"""Up to so many earlier events (ids, entities and title tokens of each) are broadcast."""
 
 
 def history(events: DataFrame, event_articles: DataFrame, articles: DataFrame, now: Column, days: int = 180, exclude: DataFrame | None = None, limit: int = 500) -> DataFrame:
@@ -53,17 +56,20 @@ def recall(targets: DataFrame, past: DataFrame, top_k: int = 6, window_days: int
         e = F.array_distinct(F.coalesce("entities", F.array().cast("array<string>")))
         return df.select(*(c.alias(f"{prefix}_{n}") for n, c in {"id": F.col("id"), "at": F.col("first_seen"), "category": F.col("category"), "entities": e, "tokens": tokens(F.col("title"))}.items()))
 
-    t, p = prepared(targets, "t"), prepared(past, "p")
+    t, p = cut(prepared(targets, "t")), cut(prepared(past, "p"))
+    few = p.count() <= BROADCAST_PAST
+    p = F.broadcast(p) if few else p
     delta = (F.unix_micros("p_at") - F.unix_micros("t_at")) / F.lit(86400e6)
     band = (delta <= 1.0) & (F.abs(delta) <= window_days)
 
     def meeting(a: Column, b: Column) -> DataFrame:
         x = t.select("t_id", "t_at", a.alias("key"))
         y = p.select("p_id", "p_at", b.alias("key"))
+        y = F.broadcast(y) if few else y
         return x.join(y, "key").where(band).select("t_id", "p_id")
 
-    same_category = t.where("t_category <> ''").select("t_id", "t_at", F.col("t_category").alias("key")).join(p.select("p_id", "p_at", F.col("p_category").alias("key")), "key").where(band).select("t_id", "p_id")
-    pairs = meeting(F.explode("t_entities"), F.explode("p_entities")).unionAll(meeting(F.explode("t_tokens"), F.explode("p_tokens"))).unionAll(same_category).distinct()
+    pairs = meeting(F.explode("t_entities"), F.explode("p_entities")).unionAll(meeting(F.explode("t_tokens"), F.explode("p_tokens")))
+    pairs = pairs.unionAll(meeting(F.when(F.col("t_category") != "", F.col("t_category")), F.col("p_category"))).distinct()
     joined = pairs.join(t, "t_id").join(p, "p_id")
     entity, lexical = jaccard(F.col("t_entities"), F.col("p_entities")), jaccard(F.col("t_tokens"), F.col("p_tokens"))
     days = days_between(F.col("t_at"), F.col("p_at"))
@@ -134,8 +140,10 @@ def validate(relations: DataFrame, recalled: DataFrame, targets: DataFrame, past
     kind = F.when(F.col("type").isin(*RELATION_TYPES), F.col("type")).otherwise("background")
     late = F.unix_micros("_p_at") > F.unix_micros("_t_at") + 86400000000
     known = known.withColumn("type", F.when(kind.isin(*DIRECTED) & late, "thematic_parallel").otherwise(kind))
+    known = cut(known)
     told = known.select("target_id", "prior_id", F.posexplode(F.slice("evidence", 1, 3)).alias("pos", "e")).select("target_id", "prior_id", "pos", "e.*").withColumn("_span", normalize_text(F.col("span")))
-    shots = articles.select(F.col("id").alias("article_id"), F.coalesce("url", F.lit("")).alias("url"), snapshot_text(F.col("title"), F.col("text")).alias("_shot"))
+    cited = articles.join(told.select(F.col("article_id").alias("id")).distinct(), "id", "left_semi")  # only these are normalized
+    shots = cited.select(F.col("id").alias("article_id"), F.coalesce("url", F.lit("")).alias("url"), snapshot_text(F.col("title"), F.col("text")).alias("_shot"))
     found = told.join(shots, "article_id").where(span_in(F.col("_span"), F.col("_shot")))
     row = F.struct("pos", "article_id", "span", "url", F.lit(True).alias("verified"))
     kept = found.groupBy("target_id", "prior_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(row)), 1, 2), lambda x: F.struct(x["article_id"].alias("article_id"), x["span"].alias("span"), x["url"].alias("url"), x["verified"].alias("verified"))).alias("evidence"))
@@ -159,5 +167,5 @@ def validate(relations: DataFrame, recalled: DataFrame, targets: DataFrame, past
 
 def trace(targets: DataFrame, past: DataFrame, articles: DataFrame, top_k: int = 6, window_days: int = 180) -> DataFrame:
     """Recall, rules and validation in one."""
-    recalled = recall(targets, past, top_k, window_days)
+    recalled = cut(recall(targets, past, top_k, window_days))
     return validate(trace_by_rule(recalled, targets, past), recalled, targets, past, articles)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.operators.relational import top_per_key
 from skyloom.functions.dates import hours_since
 from skyloom.functions.text import keyword_hits
 from skyloom.lexicon import Rules
@@ -39,8 +40,9 @@ def card_text(articles: DataFrame, sources: DataFrame) -> DataFrame:
     articles: event_id, position (in the event), source_id, title, content_text. sources: id, weight; others weigh 1.
     """
     weighed = articles.join(sources.select(F.col("id").alias("source_id"), "weight"), "source_id", "left")
-    row = F.struct((-F.coalesce("weight", F.lit(1.0))).alias("w"), "position", "title", F.left(F.coalesce("content_text", F.lit("")), F.lit(400)).alias("lead"))
-    top = weighed.groupBy("event_id").agg(F.slice(F.array_sort(F.collect_list(row)), 1, 12).alias("r"))
+    own = weighed.select("event_id", (-F.coalesce("weight", F.lit(1.0))).alias("w"), "position", "title", F.left(F.coalesce("content_text", F.lit("")), F.lit(400)).alias("lead"))
+    row = F.struct("w", "position", "title", "lead")
+    top = top_per_key(own, "event_id", 12, "w", "position", "title", "lead").groupBy("event_id").agg(F.array_sort(F.collect_list(row)).alias("r"))
     leads = F.array_join(F.transform(F.slice("r", 1, 2), lambda a: F.trim(F.concat(a["title"], F.lit(". "), a["lead"]))), " ")
     others = F.array_join(F.transform(F.slice("r", 3, 10), lambda a: a["title"]), " ; ")
     text = F.when(others == "", leads).otherwise(F.concat(leads, F.lit(" || 其他报道标题: "), others))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.functions.text import normalize_text, snapshot_text, span_in
+from skyloom.functions.text import normalize_texts, snapshot_text, span_in
 
 CITATION = "struct<article_id:bigint,span:string,url:string,verified:boolean>"
 
@@ -22,20 +22,19 @@ def review(items: DataFrame, articles: DataFrame, text: str = "text") -> DataFra
     citation, that contains it. Issues: citation_unknown, citation_missing, quote_span_missing (one per quote),
     summary_empty. Any issue makes the confidence low.
     """
-    shots = snapshots(articles, text)
-    cited = items.select("item_id", F.posexplode("citation_ids").alias("cpos", "article_id")).join(shots, "article_id", "left")
-    known = cited.groupBy("item_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("snapshot").isNotNull(), F.struct("cpos", "article_id")))), lambda x: x["article_id"]).alias("known"),
-        F.count_if(F.col("snapshot").isNull()).alias("n_unknown"),
-    )
-    quotes = items.select("item_id", F.posexplode("key_quotes").alias("qpos", "quote")).withColumn("span", normalize_text(F.col("quote")))
-    found = quotes.join(cited.where("snapshot is not null").select("item_id", "cpos", "article_id", "snapshot"), "item_id", "left")
-    hit = span_in(F.col("span"), F.col("snapshot"))
-    bound = found.groupBy("item_id", "qpos", "quote").agg(F.min_by(F.when(hit, F.col("article_id")), F.when(hit, F.col("cpos"))).alias("article_id"))
-    per_item = bound.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("qpos", "quote", "article_id"))).alias("q"))
-    joined = items.join(known, "item_id", "left").join(per_item, "item_id", "left")
-    kept = F.filter(F.coalesce("q", F.array().cast("array<struct<qpos:int,quote:string,article_id:bigint>>")), lambda x: x["article_id"].isNotNull())
-    joined = joined.withColumn("kept", kept).withColumn("known", F.coalesce("known", F.array().cast("array<bigint>")))
+    empty = F.array().cast("array<bigint>")
+    asked = items.withColumn("_spans", normalize_texts("key_quotes")).select("item_id", "_spans", F.posexplode("citation_ids").alias("cpos", "article_id"))
+    # only cited articles are normalized, and their texts travel once, to the spans that are looked up in them
+    cited = articles.join(asked.select(F.col("article_id").alias("id")).distinct(), "id", "left_semi")
+    found = asked.join(snapshots(cited, text).select("article_id", "snapshot"), "article_id", "left")
+    place = F.struct("cpos", "article_id", F.col("snapshot").isNotNull().alias("known"), F.transform("_spans", lambda s: span_in(s, F.col("snapshot"))).alias("hits"))
+    per_item = found.groupBy("item_id").agg(F.array_sort(F.collect_list(place)).alias("c"))
+    joined = items.join(per_item, "item_id", "left")
+    joined = joined.withColumn("known", F.coalesce(F.transform(F.filter("c", lambda x: x["known"]), lambda x: x["article_id"]), empty))
+    joined = joined.withColumn("n_unknown", F.size(F.coalesce("citation_ids", empty)) - F.size("known"))
+    first = lambda i: F.get(F.transform(F.filter("c", lambda x: F.get(x["hits"], i)), lambda x: x["article_id"]), F.lit(0))
+    bound = F.transform(F.coalesce("key_quotes", F.array().cast("array<string>")), lambda q, i: F.struct(i.alias("qpos"), q.alias("quote"), first(i).alias("article_id")))
+    joined = joined.withColumn("kept", F.filter(bound, lambda x: x["article_id"].isNotNull()))
     missing = F.size(F.coalesce("key_quotes", F.array().cast("array<string>"))) - F.size("kept")
     issues = F.concat(
         F.when(F.coalesce("n_unknown", F.lit(0)) > 0, F.array(F.lit("citation_unknown"))).otherwise(F.array().cast("array<string>")),
@@ -51,7 +50,7 @@ def review(items: DataFrame, articles: DataFrame, text: str = "text") -> DataFra
             "quote_citations": F.transform("kept", lambda x: x["article_id"]),
             "confidence": F.when(F.size("issues") > 0, "low").otherwise("high"),
         }
-    ).drop("known", "n_unknown", "q", "kept")
+    ).drop("known", "n_unknown", "c", "kept")
 
 
 def report(reviewed: DataFrame) -> DataFrame:

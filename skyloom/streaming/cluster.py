@@ -37,7 +37,7 @@ def cluster_stream(articles: DataFrame, key: str = "key", window_hours: float =
         if state.exists:
             n, numbers, last, *sets = state.get
             numbers = list(numbers)
-            live.events = [dict(zip(_EVENT, (set(x) for x in own))) | {"last": pd.Timestamp(t, unit="us")} for t, *own in zip(last, *sets)]
+            live.restore([dict(zip(_EVENT, (set(x) for x in own))) | {"last": pd.Timestamp(t, unit="us")} for t, *own in zip(last, *sets)])
         new = pd.concat(list(batches), ignore_index=True).sort_values(["published_at", "id"], kind="stable")
         out = []
         for id_, at, e, k in zip(new["id"], new["published_at"], new["entities"], new["tokens"]):

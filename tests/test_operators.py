@@ -69,6 +69,24 @@ def dedup_plain(rows):
     return out
 
 
+def test_common_subsequences():
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdé 谈") for _ in range(n))
+    pairs = [(text(rng.choice([0, 1, 5, 62, 63, 64, 80, 126, 127, 200])), text(rng.choice([0, 3, 63, 70, 140]))) for _ in range(120)]
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    assert dedup.common_subsequences(*map(list, zip(*pairs))).tolist() == [plain(a, b) for a, b in pairs]
+    assert len(dedup.common_subsequences([], [])) == 0
+
+
 def test_dedup_fixtures(spark):
     rows = [
         (0, "u0", "en", "US imposes new sanctions on Russia"), (1, "u1", "en", "US imposes new sanctions over Russia"), (2, "u1", "en", "Something else entirely"),
@@ -90,20 +108,44 @@ def test_dedup_is_the_fold(spark, seed):
 
 def test_common_subsequence_bounds_the_matches():
     rng = random.Random(9)
-    for _ in range(400):
-        a, b = ("".join(rng.choices("abcé ", k=rng.randint(0, 30))) for _ in range(2))
-        row = [0] * (len(b) + 1)
-        for x in a:
-            before = row[:]
-            for j, y in enumerate(b):
-                row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
-        n = dedup.common_subsequence(dedup.character_masks(a), len(a), b)
-        assert n == row[-1] and 2 * n >= dedup.similarity(a, b) * (len(a) + len(b)) - 1e-9
+    pairs = [["".join(rng.choices("abcé ", k=rng.randint(0, 30))) for _ in range(2)] for _ in range(400)]
+    for (a, b), n in zip(pairs, dedup.common_subsequences(*map(list, zip(*pairs)))):
+        assert 2 * n >= dedup.similarity(a, b) * (len(a) + len(b)) - 1e-9
 
 
 def cluster_plain(rows):
-    fold = cluster.Fold()
-    return [(r[0], fold.add(r[1], set(r[2]), set(r[3])) + 1) for r in sorted(rows, key=lambda r: (r[1], r[0]))]
+    """Every article against every event, in order."""
+    like = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    events, out = [], []
+    for i, at, e, k in sorted(rows, key=lambda r: (r[1], r[0])):
+        e, k, best, top = set(e), set(k), None, 0.0
+        for event in events:
+            by_e, by_k = max(like(e, event["e"]), like(e, event["e0"])), max(like(k, event["k"]), like(k, event["k0"]))
+            if by_k >= 0.35:
+                s = by_k
+            elif by_e >= 0.67 and max(len(e & event["e"]), len(e & event["e0"])) >= 2:
+                s = by_e
+            else:
+                s = (by_e + by_k) / 2 if by_e >= 0.5 and by_k >= 0.15 else 0.0
+            if abs(at - event["last"]) <= dt.timedelta(hours=72) and s > top:
+                best, top = event, s
+        if best is None or top < 0.30:
+            best = {"n": len(events) + 1, "e0": e, "k0": k, "e": set(), "k": set(), "last": at}
+            events.append(best)
+        best["e"], best["k"], best["last"] = best["e"] | e, best["k"] | k, max(best["last"], at)
+        out.append((i, best["n"]))
+    return out
+
+
+@pytest.mark.parametrize("in_order", [True, False])
+def test_fold_with_an_index(in_order):
+    rng, at, rows = random.Random(5), NOW, []
+    for i in range(500):
+        at += dt.timedelta(hours=rng.choice([0, 0, 1, 5, 30, 72, 73]))
+        late = dt.timedelta(0) if in_order else dt.timedelta(hours=rng.choice([0, 0, 90]))
+        rows.append((i, at - late, rng.sample("ABCDE", rng.randint(0, 3)), rng.sample([f"w{j}" for j in range(12)], rng.randint(0, 5))))
+    fold, plain = cluster.Fold(in_order=in_order), cluster_plain(rows)
+    assert [(i, fold.add(t, set(e), set(k)) + 1) for i, t, e, k in sorted(rows, key=lambda r: (r[1], r[0]))] == plain and len({n for _, n in plain}) > 20
 
 
 def test_cluster_is_the_fold(spark):
