@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.functions import text, url
+from skyloom.functions import json_repair, text, url
 from skyloom.lexicon import Rules
 from skyloom.operators import cluster, dedup, lineage, relational, screen, summarize, verify
 from skyloom.plans import brief
@@ -115,7 +115,7 @@ def topic_severity(spark, d):
 
 def card_text(spark, d):
     """The card of each language, as if its documents were one event."""
-    a = documents(spark, d).withColumn("event_id", F.crc32("lang")).withColumn("position", F.col("id"))
+    a = documents(spark, d).withColumn("event_id", (F.ascii("lang") * 1000 + F.ascii(F.substring("lang", 2, 1))).cast("bigint")).withColumn("position", F.col("id"))
     return screen.card_text(a, weights(spark, d))
 
 
@@ -233,7 +233,7 @@ def reference_numbers(spark, d):
 def summaries(spark, d):
     """An item for each source, as if its documents were one event."""
     a = documents(spark, d).join(weights(spark, d).withColumnRenamed("id", "source_id"), "source_id")
-    own = a.select(F.crc32("source_id").alias("event_id"), F.col("id").alias("position"), "id", "source_id", "title", F.col("content_text").alias("text"), (F.col("weight") + F.char_length("title") / 1000).alias("weight"))
+    own = a.select(F.regexp_extract("source_id", r"(\d+)", 1).cast("bigint").alias("event_id"), F.col("id").alias("position"), "id", "source_id", "title", F.col("content_text").alias("text"), (F.col("weight") + F.char_length("title") / 1000).alias("weight"))
     events = own.select(F.col("event_id").alias("id")).distinct().select("id", F.lit("an event").alias("title"), F.lit("other").alias("category"), F.when(F.col("id") % 2 == 0, 1.8).otherwise(1.0).alias("severity"), F.lit(1.0).alias("score"))
     out = summarize.summarize(events, own)
     return out.select("event_id", "headline", F.sha2("summary", 256).alias("summary_sha256"), F.array_join("citation_ids", ",").alias("cited"), "impact", "source_count")
@@ -258,10 +258,36 @@ def trace_relations(spark, d):
     return lineage.trace(stories, past, articles).select("target_event_id", "prior_event_id", "type", "confidence", "status", F.size("evidence").alias("n_evidence"))
 
 
+# --- numbering, model output, scripts ---
+
+
+def numbered_documents(spark, d):
+    """All documents numbered by length and id, with their texts."""
+    a = table(spark, d, "documents").select("doc_id", "n_chars", "text")
+    return relational.numbered(a, 1, "n_chars", "doc_id", name="number").select("number", "doc_id", F.md5("text").alias("text_md5"))
+
+
+def json_objects(spark, d):
+    """Model answers made of titles, with thoughts, fences and quotes that should have been escaped."""
+    plain = F.regexp_replace(F.col("title"), r'[\x00-\x1f"\\]', "")
+    answer = F.concat(F.lit('<think>{"a"}</think>```json\n{"title": "a "'), plain, F.lit('" b", "id": '), F.col("id").cast("string"), F.lit("}\n```"))
+    read = F.from_json(json_repair.json_object(answer), "title string, id bigint")
+    return documents(spark, d).select("id", read.alias("r")).select("id", F.md5("r.title").alias("title_md5"), F.col("r.id").alias("read_id"))
+
+
+LETTERS, CHARACTERS = "abcdefghijklmnopqrstuvwxyz", "东南西北春夏秋冬山水火木金土日月星云风雨雷电花草鸟鱼"
+
+
+def cjk_tokens(spark, d):
+    """Titles written in Chinese characters, one for each letter: their language, tokens and pairs of neighbours."""
+    t = F.translate(F.lower("title"), LETTERS, CHARACTERS)
+    return documents(spark, d).select("id", text.detect_lang(t).alias("detected"), F.size(text.tokenize(t)).alias("n_tokens"), F.size(text.token_set(t)).alias("n_different"))
+
+
 QUERIES = (
     url_canonicalize, url_dedup, insert_if_absent, upsert_sources, strip_html, feed_articles, lang_detect, token_stats, entity_scan, title_tokens_jaccard, topic_severity, card_text,
     hot_score_topk, source_topn, articles_window, gap_sessions, latest_status, feedback_list, top8_per_group, table_counts, events_by_day, title_fuzzy_dedup, online_cluster,
-    scored_events, review_items, review_report, item_citations, reference_numbers, summaries, recall_join, trace_relations,
+    scored_events, review_items, review_report, item_citations, reference_numbers, summaries, recall_join, trace_relations, numbered_documents, json_objects, cjk_tokens,
 )
 
 

@@ -1,9 +1,9 @@
-"""DuckDB SQL for the registered queries. The folds (title_fuzzy_dedup, online_cluster and what is built on it) have none;
-the tests compare them with plain Python."""
+"""DuckDB SQL for the registered queries. The folds (title_fuzzy_dedup, online_cluster and scored_events, which is built on it) have
+none; the tests compare them with plain Python."""
 
 from __future__ import annotations
 
-from skyloom.lexicon import STOPWORDS, TRACKING_PARAMS
+from skyloom.lexicon import IMPACT_OTHER, IMPACTS, STOPWORDS, TRACKING_PARAMS
 from skyloom.plans.queries import RULES, WORDS
 
 _quoted = lambda words: ", ".join(f"'{w}'" for w in words)
@@ -122,4 +122,29 @@ ORACLES: dict[str, str] = {
         f AS (SELECT article_id, min((p, i)) AS place FROM c GROUP BY 1)
         SELECT article_id, row_number() OVER (ORDER BY place)::INT AS n FROM f""",
     "recall_join": f"WITH {_STORIES} SELECT target_id, prior_id, round(rel, 4) AS score, array_to_string(list_slice(shared, 1, 8), ',') AS shared FROM ranked WHERE n <= 6",
+    "card_text": f"""WITH {_WEIGHTS},
+        r AS (SELECT lang, {_TITLE} AS title, left(coalesce(text, ''), 400) AS lead, row_number() OVER (PARTITION BY lang ORDER BY coalesce(weight, 1) DESC, doc_id) AS n FROM documents LEFT JOIN weights USING (source)),
+        e AS (SELECT lang, string_agg(trim(title || '. ' || lead), ' ' ORDER BY n) FILTER (WHERE n <= 2) AS leads, coalesce(string_agg(title, ' ; ' ORDER BY n) FILTER (WHERE n BETWEEN 3 AND 12), '') AS others FROM r GROUP BY lang)
+        SELECT (ascii(lang) * 1000 + ascii(lang[2:2]))::BIGINT AS event_id, left(leads || CASE WHEN others = '' THEN '' ELSE ' || 其他报道标题: ' || others END, 1600) AS text FROM e""",
+    "summaries": f"""WITH {_WEIGHTS},
+        r AS (SELECT doc_id, source, {_TITLE} AS title, text, row_number() OVER (PARTITION BY source ORDER BY weight + length({_TITLE}) / 1000 DESC, doc_id) AS n FROM documents JOIN weights USING (source)),
+        s AS (SELECT source, n, doc_id, left(title, 80) AS title, array_to_string(list_transform(list_slice({_SENTENCES}, 1, 2), lambda x: left(x, 220)), ' ') AS lead FROM r WHERE n <= 4),
+        e AS (SELECT regexp_extract(source, '(\\d+)', 1)::BIGINT AS event_id, max(title) FILTER (WHERE n = 1) AS headline, coalesce(string_agg(lead, chr(10) ORDER BY n) FILTER (WHERE n <= 2 AND lead <> ''), '') AS summary, string_agg(doc_id::VARCHAR, ',' ORDER BY n) AS cited FROM s GROUP BY source)
+        SELECT event_id, headline, sha256(CASE WHEN summary = '' THEN headline ELSE summary END) AS summary_sha256, cited, CASE WHEN event_id % 2 = 0 THEN '{IMPACTS[0][1]}' ELSE '{IMPACT_OTHER}' END AS impact, 1::BIGINT AS source_count FROM e""",
+    "item_citations": f"""WITH {_REVIEW},
+        c AS (SELECT item_id, 0 AS k, qpos AS p, article_id, quote AS span FROM bound WHERE article_id IS NOT NULL
+              UNION ALL SELECT item_id, 1, pos, cid, coalesce(title, '') FROM cited JOIN a ON a.id = cid
+              WHERE s IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bound WHERE bound.item_id = cited.item_id AND bound.article_id = cid))
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY k, p) - 1)::INT AS pos, article_id, sha256(span) AS span_sha256, 'u' || article_id AS url, span <> '' AS verified FROM c""",
+    "trace_relations": f"""WITH {_STORIES},
+        lead AS (SELECT doc_id AS id, left(({_SENTENCES})[1], 220) AS q, {_NORMAL % f"{_TITLE} || ' ' || text"} AS s FROM documents),
+        ok AS (SELECT id, coalesce(length({_NORMAL % "q"}) >= 12 AND contains(s, {_NORMAL % "q"}), false)::INT AS ok FROM lead)
+        SELECT target_id AS target_event_id, prior_id AS prior_event_id, 'background' AS type, round(least(0.6, 0.3 + 0.1 * least(len(shared), 3)), 2)::DOUBLE AS confidence, 'review' AS status, (p.ok + t.ok)::INT AS n_evidence
+        FROM ranked JOIN ok p ON p.id = prior_id JOIN ok t ON t.id = target_id WHERE n <= 6 AND len(shared) > 0 AND p.ok + t.ok > 0
+        QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY least(len(shared), 3) DESC, n, prior_id) <= 3""",
+    "numbered_documents": "SELECT row_number() OVER (ORDER BY n_chars, doc_id) AS number, doc_id, md5(text) AS text_md5 FROM documents",
+    "json_objects": rf"""SELECT doc_id AS id, md5('a "' || regexp_replace({_TITLE}, '[\x00-\x1f"\\]', '', 'g') || '" b') AS title_md5, doc_id AS read_id FROM documents""",
+    "cjk_tokens": f"""WITH t AS (SELECT doc_id, lower({_TITLE}) AS t, regexp_extract_all(lower({_TITLE}), '[a-z]') AS c, regexp_extract_all({_TITLE}, '[0-9]+') AS n FROM documents)
+        SELECT doc_id AS id, CASE WHEN len(c) / greatest(length(t), 1) > 0.15 THEN 'zh' ELSE 'en' END AS detected, (len(c) + len(n))::INT AS n_tokens,
+               (len(list_distinct(c)) + len(list_distinct(n)) + len(list_distinct(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1]))))::INT AS n_different FROM t""",
 }
