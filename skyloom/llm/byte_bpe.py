@@ -37,10 +37,27 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 """Unicode's white space, which \\s means in the pattern (Python's \\s also has the separators U+001C to U+001F)."""
 
 
+def in_class(pattern: str) -> bool:
+    """Whether \\s or \\S stands inside a character class."""
+    depth, i = 0, 0
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            if depth and pattern[i + 1 : i + 2] in ("s", "S"):
+                return True
+            i += 1
+        elif pattern[i] == "[":
+            depth += 1
+        elif pattern[i] == "]" and depth:
+            depth -= 1
+        i += 1
+    return False
+
+
 class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        if "[^\\s" in pattern:
-            pattern = pattern.replace("[^\\s", f"[^{WHITE}")
+        if in_class(pattern.replace("[^\\s", "[^")):
+            raise ValueError("\\s and \\S inside a character class are understood right after [^ only, and only \\s")
+        pattern = pattern.replace("[^\\s", f"[^{WHITE}")
         self.pattern = regex.compile(pattern.replace("\\S", f"[^{WHITE}]").replace("\\s", f"[{WHITE}]"))
         # two white-space characters in a row of which one is a space, or any but space and newline: no shortcut
         self.tricky = ["  ", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c not in " \n" and regex.match(f"[{WHITE}]", c))]

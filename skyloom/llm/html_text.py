@@ -19,6 +19,7 @@ name such strings, count the named ones of all shards of the host, and the sums
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 
@@ -80,18 +81,53 @@ def _class_words(value: str) -> set[str]:
     return out
 
 
-def _holds_article(page: str, at: int, tag: str, tags: set[str]) -> bool:
-    """Whether the element that was opened before `at` holds one of the tags, or an element of such a role."""
-    depth = 1
-    for m in _TOKEN.finditer(page, at):
-        name = (m[2] or "").lower()
-        if name == tag:
-            depth += -1 if m[1] else 1
-            if not depth:
+LOOK = 64
+"""Tokens that are read ahead for an element's end before the ends of all elements of the page are found at once."""
+
+
+class _Ends:
+    """Where the elements of a page end and where it has articles, told in time linear in the page."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.ends: dict[int, int] | None = None
+
+    def _all(self) -> None:
+        self.ends, self.marks = {}, {"main": [], "article": []}
+        opened: dict[str, list[int]] = {}
+        for m in _TOKEN.finditer(self.page):
+            name = (m[2] or "").lower()
+            if not name:
+                continue
+            if m[1]:
+                if opened.get(name):
+                    self.ends[opened[name].pop()] = m.start()
+                continue
+            opened.setdefault(name, []).append(m.end())
+            if name in self.marks:
+                self.marks[name].append(m.start())
+            elif m[3] and _own_main(m[3]):
+                self.marks["article"].append(m.start())
+
+    def holds(self, at: int, tag: str, tags: set[str]) -> bool:
+        """Whether the element of this tag that was opened before `at` holds one of the tags, or an element of such a role."""
+        if self.ends is None:
+            depth = 1
+            for n, m in enumerate(_TOKEN.finditer(self.page, at)):
+                if n >= LOOK:
+                    break
+                name = (m[2] or "").lower()
+                if name == tag:
+                    depth += -1 if m[1] else 1
+                    if not depth:
+                        return False
+                if name and not m[1] and (name in tags or "article" in tags and m[3] and _own_main(m[3])):
+                    return True
+            else:
                 return False
-        if name and not m[1] and (name in tags or "article" in tags and m[3] and _own_main(m[3])):
-            return True
-    return False
+            self._all()
+        end = self.ends.get(at, len(self.page))
+        return any((i := bisect.bisect_left(self.marks[t], at)) < len(self.marks[t]) and self.marks[t][i] < end for t in tags)
 
 
 def _own_main(attributes: str) -> bool:
@@ -103,7 +139,7 @@ def _own_main(attributes: str) -> bool:
     return False
 
 
-def _zone(tag: str, attributes: str, outer: int, page: str = "", at: int = 0) -> int:
+def _zone(tag: str, attributes: str, outer: int, ends: _Ends, at: int) -> int:
     """The zone of an element. Words of its class or id drop it, but not the main zone's own elements, nor what holds one
     (an element of comments or related articles may hold articles; a `main` is the page's)."""
     if outer == DROP or tag in _DROPPED:
@@ -129,15 +165,47 @@ def _zone(tag: str, attributes: str, outer: int, page: str = "", at: int = 0) ->
     own = tag in ("article", "main") or bool(attributes) and _own_main(attributes)
     if not own and (words & _WORDS or ("header" in words and was != MAIN and tag not in ("h1", "h2", "h3"))):
         tags = {"main"} if words & _LISTING else {"main", "article"}
-        if tag in _FLOWING or not _holds_article(page, at, tag, tags):
+        if tag in _FLOWING or not ends.holds(at, tag, tags):
             return DROP
     return inner
 
 
+class _Open:
+    """The elements that are open, with the places of each name: what a tag closes is found without a search."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.zones: list[int] = []
+        self.places: dict[str, list[int]] = {}
+
+    def kinds(self, name: str) -> list[str]:
+        return [name, *(["#list"] if name in _LISTS else []), *(["#block"] if name in _BLOCK else [])]
+
+    def push(self, name: str, zone: int) -> None:
+        for kind in self.kinds(name):
+            self.places.setdefault(kind, []).append(len(self.names))
+        self.names.append(name)
+        self.zones.append(zone)
+
+    def last(self, *kinds: str) -> int:
+        """The place of the innermost element of these kinds; -1 where there is none."""
+        return max((self.places[k][-1] for k in kinds if self.places.get(k)), default=-1)
+
+    def close(self, place: int) -> None:
+        """Closes the element at this place and all inside it."""
+        while len(self.names) > place:
+            for kind in self.kinds(self.names.pop()):
+                self.places[kind].pop()
+            self.zones.pop()
+
+    def zone(self) -> int:
+        return self.zones[-1] if self.zones else OTHER
+
+
 def blocks(page: str) -> list[tuple[int, str]]:
     """(zone, text) of the page's blocks outside the dropped zones, in page order."""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []
+    opened, ends = _Open(), _Ends(page)
     zone, text = OTHER, []
 
     def flush() -> None:
@@ -158,16 +226,14 @@ def blocks(page: str) -> list[tuple[int, str]]:
                     text.append(m[0])
             continue
         tag = tag.lower()
-        if m[1]:  # an end tag closes the nearest open element of its name
+        if m[1]:  # an end tag closes the innermost open element of its name
             if tag in _BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if (was := stack[i - 1][1] if i else OTHER) != zone:
-                        flush()
-                    del stack[i:]
-                    zone = was
-                    break
+            if (place := opened.last(tag)) >= 0:
+                if (opened.zones[place - 1] if place else OTHER) != zone:
+                    flush()
+                opened.close(place)
+                zone = opened.zone()
             continue
         if tag == "br":
             text.append(" ")
@@ -178,21 +244,17 @@ def blocks(page: str) -> list[tuple[int, str]]:
             continue
         if tag in _BLOCK:
             flush()
-            for i in range(len(stack) - 1, -1, -1):  # what this element closes by beginning
-                name = stack[i][0]
-                if name == "p" or name in _CLOSED_BY.get(tag, ()):
-                    del stack[i:]
-                    break
-                if name in _LISTS or name in _BLOCK and tag not in _CLOSED_BY:
-                    break
-            zone = stack[-1][1] if stack else OTHER
+            closed = opened.last("p", *_CLOSED_BY.get(tag, ()))  # by this element's beginning, if nothing stands between
+            if closed >= 0 and closed >= opened.last("#list", *([] if tag in _CLOSED_BY else ["#block"])):
+                opened.close(closed)
+            zone = opened.zone()
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
             continue
-        inner = _zone(tag, m[3], zone, page, at)
+        inner = _zone(tag, m[3], zone, ends, at)
         if inner != zone:
             flush()
             zone = inner
-        stack.append((tag, inner))
+        opened.push(tag, inner)
     flush()
     return out
 

@@ -3,7 +3,8 @@
 A text is a vector of hashed byte n-grams (lower case, everything but letters as one space), square roots of the counts
 times inverse document frequencies, normalised. Each language has several centroids, found by spherical k-means among
 its labelled texts, as one language's texts may be of several kinds. A text belongs to the centroid of the greatest
-cosine; it is rejected if that cosine is below what the texts of that language had when the model was fitted.
+cosine; it is rejected if that cosine is well below those of texts of that language which were held back when the
+centroids were fitted.
 """
 
 from __future__ import annotations
@@ -21,10 +22,15 @@ from skyloom.llm.frames import give_back
 DIMENSIONS = 1 << 13
 GRAMS = (2, 3, 4)
 CENTROIDS = 4
-PER_LANGUAGE = 400
-"""The classifier is fitted on about so many labelled texts a language (each chosen by a hash of its id, whole)."""
-MARGIN = 0.5
-"""A text is rejected if its nearness is below this part of the lowest that its language's fitted texts had."""
+PER_LANGUAGE = 600
+"""The classifier is fitted on about so many different labelled texts a language (each chosen by a hash of it and its id, whole)."""
+HELD_BACK = 3
+"""One in so many of them is no part of the centroids; the rejection is fitted on these."""
+LOW, MARGIN, FLOOR = 0.01, 0.7, 0.3
+"""A text is rejected if its nearness is below MARGIN times the LOW quantile of the held-back texts of its language, or FLOOR
+times their median: outliers and wrong labels among them move neither much."""
+LANGUAGES = 10_000
+"""Up to so many different labels their counts are broadcast."""
 SHORT = 300
 """A text of m n-grams can't come as near as a long one; its cosine counts times sqrt(1 + SHORT / m) for the rejection."""
 CHUNK = 1 << 20
@@ -105,31 +111,33 @@ def clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
-    """Fits the model on the labelled rows of docs: about per_language of each language, chosen by a hash of the id."""
-    labelled = docs.select(docs[doc_id].cast("string").alias("id"), docs[text].cast("string").alias("text"), docs[lang].cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not counts:
-        return Model([], np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0))
-    share = F.lit(0.0)
-    for name, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == name, F.lit(per_language / n)).otherwise(share)
-    sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30))
+    """Fits the model on the labelled rows of docs: about per_language different ones of each language, chosen by a hash of id
+    and text. Equal rows (of one id, or of none) are one row, so the sample is as small however often they occur."""
+    h = F.xxhash64(docs[doc_id].cast("string"), docs[text].cast("string"))
+    labelled = docs.select(h.alias("h"), docs[text].cast("string").alias("text"), docs[lang].cast("string").alias("lang")).where("lang is not null and text is not null")
+    counts = labelled.groupBy("lang").count()
+    counts = F.broadcast(counts) if counts.limit(LANGUAGES + 1).count() <= LANGUAGES else counts
+    chosen = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.lit(float(per_language)) / F.col("count") * (1 << 30)
+    sample = labelled.join(counts, "lang").where(chosen).select("h", "text", "lang")
 
     def of(batches):
+        known: set[tuple[int, str]] = set()
         for batch in batches:
-            ids, names, where, count = [], [], [], []
-            for i, t, name in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                if has_letter(t):
-                    g = grams(t)
-                    at = np.flatnonzero(g)
-                    ids.append(i)
-                    names.append(name)
-                    where.append(at.astype("<u2").tobytes())
-                    count.append(np.minimum(g[at], (1 << 32) - 1).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(names, pa.string()), pa.array(where, pa.binary()), pa.array(count, pa.binary())], ["id", "lang", "where", "count"])
-
-    rows = sample.select("id", "text", "lang").mapInArrow(of, "id string, lang string, where binary, count binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["id"] or "", bytes(r["where"])))
+            out: dict[str, list] = {"h": [], "lang": [], "where": [], "count": []}
+            for own, t, name in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if (own, name) in known or not has_letter(t):
+                    continue
+                known.add((own, name))
+                g = grams(t)
+                at = np.flatnonzero(g)
+                for column, value in zip(out.values(), (own, name, at.astype("<u2").tobytes(), np.minimum(g[at], (1 << 32) - 1).astype("<u4").tobytes()), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), (pa.int64(), pa.string(), pa.binary(), pa.binary()))], list(out))
+
+    rows = sample.mapInArrow(of, "h long, lang string, where binary, count binary").dropDuplicates(["h", "lang"]).collect()
+    rows.sort(key=lambda r: (r["lang"], r["h"]))
+    if not rows:
+        return Model([], np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0))
     seen = np.zeros(DIMENSIONS)
     for r in rows:
         seen[np.frombuffer(r["where"], "<u2")] += 1
@@ -137,15 +145,21 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     names, found, least = [], [], []
     for name in sorted({r["lang"] for r in rows}):
         own = [r for r in rows if r["lang"] == name]
-        x = np.zeros((len(own), DIMENSIONS), np.float32)
+        counted = np.zeros((len(own), DIMENSIONS), np.float32)
         for i, r in enumerate(own):
-            x[i, np.frombuffer(r["where"], "<u2")] = np.frombuffer(r["count"], "<u4")
-        counted, x = x, vectors(x, idf)
-        c = clustered(x, centroids)
+            counted[i, np.frombuffer(r["where"], "<u2")] = np.frombuffer(r["count"], "<u4")
+        x = vectors(counted, idf)
+        back = np.arange(len(own)) % HELD_BACK == HELD_BACK - 1
+        if not back.any():  # too few to hold any back
+            back[:] = True
+            c = clustered(x, centroids)
+        else:
+            c = clustered(x[~back], centroids)
+        near = nearness((x[back] @ c.T).max(axis=1), counted[back])
         names += [name] * len(c)
         found.append(c)
-        least += [MARGIN * float(nearness((x @ c.T).max(axis=1), counted).min())] * len(c)
-    return Model(names, idf, np.concatenate(found) if found else np.zeros((0, DIMENSIONS), np.float32), np.array(least))
+        least += [max(MARGIN * float(np.quantile(near, LOW)), FLOOR * float(np.median(near)))] * len(c)
+    return Model(names, idf, np.concatenate(found), np.array(least))
 
 
 def held_out(doc_id) -> F.Column:
@@ -168,8 +182,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         give_back()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], ["lang_pred", "score", "rejected"])
 
-    found = docs.withColumn("_told", told(F.col(text).cast("string")))
-    return found.withColumns({c: F.col(f"_told.{c}") for c in ("lang_pred", "score", "rejected")}).drop("_told")
+    name = next(n for n in (f"told_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    found = docs.withColumn(name, told(F.col(text).cast("string")))
+    return found.withColumns({c: F.col(f"{name}.{c}") for c in ("lang_pred", "score", "rejected")}).drop(name)
 
 
 def fit_and_identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

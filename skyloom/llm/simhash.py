@@ -229,9 +229,9 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = fingerprint_links(nodes, nodes.count(), distance)
     roots = connected_components(links)  # (node, root), fingerprints that have a link only
-    grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = grouped.join(least, "root").select("fp", "component_id")
+    linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "least", "root")
+    least = few(linked.groupBy("root").agg(F.min("least").alias("linked_id")), roots.where("node = root").count())
+    label = nodes.join(linked.join(least, "root").select("fp", "linked_id"), "fp", "left").select("fp", F.coalesce("linked_id", "least").alias("component_id"))
     return own.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -247,10 +247,17 @@ BAND_KEYS = 250_000
 """Band keys (about 90 bytes each) that one task reads."""
 PART_SHINGLES = 2_000_000
 """Shingles of a component that one task compares with as many others at most."""
+PIVOT_BYTES = 64 << 20
+"""Up to so many bytes of shingles of the components' roots are broadcast."""
 BROADCAST_IDS = 1_000_000
 """Up to so many ids are broadcast (16 bytes each); beyond that tables are joined by id."""
 
 
+def few(df: DataFrame, n: int) -> DataFrame:
+    """df of n rows of a few numbers, to be broadcast if n is small: then a key that many rows have is no hot key of a join."""
+    return F.broadcast(df) if n <= BROADCAST_IDS else df
+
+
 def _words(texts: list[bytes | None]) -> list[np.ndarray]:
     """64-bit hashes of the lower-cased words of each text; short texts are hashed together."""
     out, group, size = [], [], 0
@@ -336,59 +343,65 @@ def links_in_bands(key: np.ndarray, node: np.ndarray, size: np.ndarray, sketch:
     return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
 
 
-def similar_forest(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that connect all whose sets have the Jaccard similarity; breadth first, so that what one reached isn't
-    compared again."""
-    size = np.array([len(s) for s in sets])
-    left, out = np.arange(len(sets)), []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            x = queue.pop()
-            bound = np.minimum(size[left], size[x]) >= similarity * np.maximum(size[left], size[x])
-            near = left[bound]
-            if not len(near):
-                continue
-            flat = np.concatenate([sets[i] for i in near])
-            common = np.add.reduceat(B.isin_sorted(flat, sets[x]).astype(np.int64), np.concatenate([[0], np.cumsum(size[near])[:-1]])) if len(flat) else np.zeros(len(near), np.int64)
-            hit = near[common >= similarity * (size[near] + size[x] - common) - 1e-12]
-            if len(hit):
-                out += [(int(ids[x]), int(ids[i])) for i in hit]
-                queue.extend(hit.tolist())
-                left = left[~np.isin(left, hit)]
-    return out
+def majority(s: np.ndarray) -> int:
+    """The SimHash of a set of 64-bit hashes."""
+    total = np.zeros(64, np.int64)
+    for a in range(0, len(s), 1 << 16):
+        total += np.unpackbits(s[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(s), bitorder="little").view("<u8")[0])
+
+
+def similar_to(own: np.ndarray, sets: list[np.ndarray], size: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the sets have the Jaccard similarity with `own`."""
+    near = np.flatnonzero(np.minimum(size, len(own)) >= similarity * np.maximum(size, len(own)))
+    if not len(near):
+        return near
+    if not len(own):
+        return near  # sets without a shingle are alike
+    common = np.add.reduceat(B.isin_sorted(np.concatenate([sets[i] for i in near]), own).astype(np.int64), np.concatenate([[0], np.cumsum(size[near])[:-1]]))
+    return near[common >= similarity * (size[near] + len(own) - common) - 1e-12]
 
 
 def near_duplicate_classes(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of every different text that is linked with another: xxhash64 of the text (null as empty), and the smallest
     node that links reach. Texts link whose sets of `shingle`-word shingles have the Jaccard similarity.
 
-    Candidates are texts that share a band of ROWS MinHash values of their shingles and whose sketches (a byte of each value)
-    don't tell that they differ: each loses a pair of just the similarity with a chance of at most MISS, wherever the texts
-    differ, and a more similar pair more rarely. Their components are verified by the exact similarity. Different texts share
-    a node with a chance of 1e-5 at 15 million texts.
+    Candidates are texts whose SimHashes of these shingles the Golay keys link, and, as a similarity of 0.8 may be some ten bits,
+    those that share a band of ROWS MinHash values and whose sketches (a byte of each value) don't tell that they differ: each
+    of the two loses a pair of just the similarity with a chance of at most MISS, wherever the texts differ, and a more
+    similar pair more rarely. Their components are verified by the exact similarity. Different texts share a node with a chance
+    of 1e-5 at 15 million texts.
     """
     content = F.coalesce(docs[text].cast("string"), F.lit(""))
     base = docs.select(F.xxhash64(content).alias("node"), content.alias("text"))
     bands = bands_for(similarity)
     values = bands * ROWS
     least = least_equal(values, similarity)
-    slices = max(8, math.ceil(docs.count() * bands / BAND_KEYS))
 
-    def scatter(batches):
+    def sign(batches):
         for batch in batches:
             node, at = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)  # copies in a batch are one
-            size, found = np.zeros(len(node), np.uint32), np.zeros((len(node), values), np.uint64)
             for a in range(0, len(node), 1024):
                 sets = [shingle_set(w, shingle) for w in _words(batch.column(1).take(pa.array(at[a : a + 1024])).cast(pa.binary()).to_pylist())]
-                size[a : a + 1024], found[a : a + 1024] = [len(s) for s in sets], signatures(sets, values)
-            sketch = found.astype(np.uint8)
-            key = B.mix(B.mix(B.mix(found[:, ::3]) ^ found[:, 1::3]) ^ found[:, 2::3]) + np.arange(bands, dtype=np.uint64)
-            key = B.mix(key).ravel()
-            order = np.argsort(key)
-            key, which = key[order], order // bands
-            pack = lambda a, b, k=key, w=which, n=node, s=size, t=sketch: int(b - a).to_bytes(8, "little") + k[a:b].tobytes() + n[w[a:b]].tobytes() + s[w[a:b]].tobytes() + t[w[a:b]].tobytes()
-            yield from B.fragments(0, slices, key, pack).to_batches()
+                fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+                found = signatures(sets, values)
+                yield pa.RecordBatch.from_arrays([pa.array(node[a : a + 1024]), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp), pa.array([f.tobytes() for f in found], pa.binary())], ["node", "n", "fp", "signature"])
+
+    signed = checkpointed(base.mapInArrow(sign, "node long, n long, fp long, signature binary"))
+    slices = max(8, math.ceil(signed.count() * bands / BAND_KEYS))
+
+    def scatter(batches):
+        for batch in batches:
+            node, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for a in range(0, len(node), 4096):
+                found = np.frombuffer(b"".join(batch.column(2).slice(a, 4096).to_pylist()), np.uint64).reshape(-1, values)
+                n, s, sketch = node[a : a + 4096], size[a : a + 4096].astype(np.uint32), found.astype(np.uint8)
+                key = B.mix(B.mix(B.mix(found[:, ::3]) ^ found[:, 1::3]) ^ found[:, 2::3]) + np.arange(bands, dtype=np.uint64)
+                key = B.mix(key).ravel()
+                order = np.argsort(key)
+                key, which = key[order], order // bands
+                pack = lambda a, b, k=key, w=which, n=n, s=s, t=sketch: int(b - a).to_bytes(8, "little") + k[a:b].tobytes() + n[w[a:b]].tobytes() + s[w[a:b]].tobytes() + t[w[a:b]].tobytes()
+                yield from B.fragments(0, slices, key, pack).to_batches()
 
     def candidates(table: pa.Table) -> pa.Table:
         parts = []
@@ -398,8 +411,13 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", shingle: int = S
         links = stars(links_in_bands(*[np.concatenate(x) for x in zip(*parts)], least, similarity))
         return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
 
-    coarse = checkpointed(connected_components(base.mapInArrow(scatter, B.FRAGMENT).groupBy("slice").applyInArrow(trimmed(candidates), "a long, b long")))
-    few_nodes = coarse.count() <= BROADCAST_IDS
+    by_bands = signed.select("node", "n", "signature").mapInArrow(scatter, B.FRAGMENT).groupBy("slice").applyInArrow(trimmed(candidates), "a long, b long")
+    fps = checkpointed(signed.groupBy("fp").agg(F.min("node").alias("first")))
+    n_fps = fps.count()
+    first = lambda name: few(fps.select(F.col("fp").alias(name), F.col("first").alias(f"first_{name}")), n_fps)
+    by_keys = fingerprint_links(fps, n_fps).join(first("a"), "a").join(first("b"), "b").select("first_a", "first_b")
+    by_equal = signed.select("node", "fp").join(few(fps, n_fps), "fp").where("node <> first").select("node", "first")
+    coarse = checkpointed(connected_components(by_bands.unionAll(by_keys).unionAll(by_equal)))
 
     def sets(batches):
         for batch in batches:
@@ -409,26 +427,62 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", shingle: int = S
                 found = [shingle_set(w, shingle) for w in _words(part.column(2).cast(pa.binary()).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "root", "n", "shingles"])
 
-    members = base.join(F.broadcast(coarse) if few_nodes else coarse, "node").select("node", "root", "text")
+    members = base.join(few(coarse, coarse.count()), "node").select("node", "root", "text")
     members = checkpointed(members.mapInArrow(sets, "node long, root long, n long, shingles binary").dropDuplicates(["node"]))
-    size = members.groupBy("root").agg(F.sum("n").alias("total"))
-    few = max(1, math.ceil((members.agg(F.sum("n")).first()[0] or 0) / PART_SHINGLES))
-    placed = members.join(size, "root").withColumn("parts", F.ceil(F.col("total") / PART_SHINGLES).cast("int"))
-    placed = placed.withColumn("parts", F.greatest("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    single = F.col("parts") == 1
-    placed = placed.select("node", "root", "shingles", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), single.alias("single"), F.when(single, F.pmod(F.xxhash64("root"), F.lit(few))).otherwise(F.col("root")).alias("g"))
+    roots = checkpointed(connected_components(verified_links(members, similarity)))
+    return roots
+
+
+def verified_links(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect all members (node, root, n, shingles) of a component whose similarity is enough.
+
+    Each is compared with its component's root first; those alike are one group, so that of a group of near copies, however
+    large, only the rest is compared further: in parts, of bounded size, with all members.
+    """
+    pivots = members.where("node = root").select("root", F.col("shingles").alias("pivot"))
+    if (pivots.agg(F.sum(F.octet_length("pivot"))).first()[0] or 0) <= PIVOT_BYTES:
+        pivots = F.broadcast(pivots)
+
+    def to_pivot(batches):
+        for batch in batches:
+            near = []
+            for s, p in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                near.append(len(similar_to(np.frombuffer(p, np.uint64), [np.frombuffer(s, np.uint64)], np.array([len(s) // 8]), similarity)) > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near, pa.bool_())], ["node", "root", "n", "near"])
+
+    seen = checkpointed(members.join(pivots, "root").select("node", "root", "n", "shingles", "pivot").mapInArrow(to_pivot, "node long, root long, n long, near boolean"))
+    rest = F.when(F.col("near"), 0).otherwise(F.col("n") + 1)
+    totals = checkpointed(seen.groupBy("root").agg(F.sum(F.col("n") + 1).alias("total"), F.sum(rest).alias("rest")).where("rest > 0"))
+    n_tasks = max(1, math.ceil((totals.agg(F.sum("total")).first()[0] or 0) / PART_SHINGLES))
+    parts = lambda column: F.greatest(F.ceil(F.col(column) / PART_SHINGLES), F.lit(1)).cast("int")
+    placed = seen.join(few(totals, totals.count()), "root").withColumns({"of": parts("total"), "by": parts("rest")})
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    columns = ("node", "root", "near", "of", "by", "asks", "lo", "hi")
+    told = placed.withColumns({"asks": F.lit(False), "hi": place("of"), "lo": numbers("by")}).select(*columns)
+    asking = placed.where("not near").withColumns({"asks": F.lit(True), "lo": place("by"), "hi": numbers("of")}).select(*columns)
+    single = (F.col("of") == 1) & (F.col("by") == 1)
+    dealt = told.unionAll(asking).withColumns({"single": single, "g": F.when(single, F.pmod(F.xxhash64("root"), F.lit(n_tasks))).otherwise(F.col("root"))})
+    dealt = dealt.join(members.select("node", "shingles"), "node").select("node", "root", "near", "asks", "shingles", "g", "single", "lo", "hi")
 
     def verify(table: pa.Table) -> pa.Table:
-        node, root, packed = np.asarray(table["node"]), np.asarray(table["root"]), table["shingles"].to_pylist()
+        node, root, near, asks = (np.asarray(table[c]) for c in ("node", "root", "near", "asks"))
+        packed = table["shingles"].to_pylist()
         links: list[tuple[int, int]] = []
         order = np.lexsort((node, root))
         for part in np.split(order, np.flatnonzero(np.diff(root[order])) + 1) if len(order) else []:
-            links += similar_forest(node[part], [np.frombuffer(packed[i], np.uint64) for i in part], similarity)
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
-
-    verified = placed.groupBy("g", "single", "lo", "hi").applyInArrow(trimmed(verify), "a long, b long")
-    roots = checkpointed(connected_components(verified))
-    return roots
+            told, asking = part[~asks[part]], part[asks[part]]
+            own = [np.frombuffer(packed[i], np.uint64) for i in told]
+            size = np.array([len(s) for s in own], np.int64)
+            for i in asking:
+                hit = told[similar_to(np.frombuffer(packed[i], np.uint64), own, size, similarity)]
+                group = hit[near[hit]][:1]  # one link with the root's group is as good as many
+                links += [(int(node[i]), int(node[j])) for j in (*group, *hit[~near[hit]]) if node[i] != node[j]]
+        links_ = stars(np.array(links, np.int64).reshape(-1, 2))
+        return pa.table({"a": pa.array(links_[:, 0], pa.int64()), "b": pa.array(links_[:, 1], pa.int64())})
+
+    further = dealt.groupBy("g", "single", "lo", "hi").applyInArrow(trimmed(verify), "a long, b long")
+    return seen.where("near and node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(further)
 
 
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

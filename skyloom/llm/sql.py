@@ -1,5 +1,10 @@
 """DuckDB SQL for the operators' queries, where SQL can express them."""
 
+from skyloom.llm.suffix_dedup import PASSAGE, PHRASE_BITS, TRIGGER, TRIGGER_MULTIPLIER
+
+_WORD = " || ".join(f"h[{i}:{i + 1}]" for i in range(2 * TRIGGER - 1, 0, -2))
+"""Eight bytes in hexadecimal, the last first."""
+
 ORACLES = {
     "op2_substring_dedup": r"""
 WITH w AS (
@@ -25,7 +30,7 @@ SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept USING (doc_id)
 """,
-    "op6_suffix_dedup": r"""
+    "op6_suffix_dedup": rf"""
 WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
 win AS (SELECT doc_id, s, md5(b[s:s + 399]) AS k
         FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS s FROM b WHERE octet_length(b) >= 400)),
@@ -36,11 +41,21 @@ span AS (SELECT doc_id, min(s) AS a, max(s) + 399 AS z
 piece AS (SELECT doc_id, a, b.b[coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 : a - 1] AS kept, z - a + 1 AS n
           FROM span JOIN b USING (doc_id)),
 agg AS (SELECT doc_id, sum(n) AS n_removed, count(*) AS n_spans, string_agg(hex(kept), '' ORDER BY a) AS kept FROM piece GROUP BY doc_id),
-tail AS (SELECT doc_id, max(z) AS z FROM span GROUP BY doc_id)
+tail AS (SELECT doc_id, max(z) AS z FROM span GROUP BY doc_id),
+octet AS (SELECT doc_id, s, hex(b[s:s + {TRIGGER - 1}]) AS h
+          FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - {TRIGGER - 2})) AS s FROM b WHERE octet_length(b) >= {TRIGGER})),
+trig AS (SELECT doc_id, s FROM octet
+         WHERE (('0x' || {_WORD})::UBIGINT::UHUGEINT * {TRIGGER_MULTIPLIER}::UHUGEINT) % {1 << 64}::UHUGEINT < {1 << 64 - PHRASE_BITS}::UHUGEINT),
+phrases AS (SELECT x.doc_id, x.s, y.s + {TRIGGER} AS z FROM trig x ASOF JOIN trig y ON x.doc_id = y.doc_id AND x.s + {PASSAGE - TRIGGER} <= y.s),
+keyed AS (SELECT doc_id, s, z, md5(b.b[s:z - 1]) AS k FROM phrases JOIN b USING (doc_id)),
+again AS (SELECT doc_id, s, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY s), s) AS before
+          FROM keyed WHERE k IN (SELECT k FROM keyed GROUP BY k HAVING count(*) > 1)),
+short AS (SELECT doc_id, sum(z - greatest(s, before)) AS n_repeated FROM again GROUP BY doc_id)
 SELECT b.doc_id, octet_length(b.b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
        coalesce(n_spans, 0)::BIGINT AS n_spans,
-       sha256(unhex(coalesce(kept, '') || hex(b.b[coalesce(z, 0) + 1 : octet_length(b.b)]))) AS kept_sha256
-FROM b LEFT JOIN agg USING (doc_id) LEFT JOIN tail USING (doc_id)
+       sha256(unhex(coalesce(kept, '') || hex(b.b[coalesce(z, 0) + 1 : octet_length(b.b)]))) AS kept_sha256,
+       coalesce(n_repeated, 0)::BIGINT AS n_repeated
+FROM b LEFT JOIN agg USING (doc_id) LEFT JOIN tail USING (doc_id) LEFT JOIN short USING (doc_id)
 """,
     "op7_embedding_dedup": r"""
 WITH RECURSIVE v AS (

@@ -47,7 +47,7 @@ _SHORT = np.uint64(0x5851F42D4C957F2D)
 KIND = 1 << 24
 """Slices of the exchanges' answers are told apart by multiples of this."""
 
-_TRIGGER_MULTIPLIER = np.uint64(0xA0761D6478BD642F)
+TRIGGER_MULTIPLIER = 0xA0761D6478BD642F
 
 
 def range_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray, second: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +79,7 @@ class Parse:
         for a in range(0, max(0, n - TRIGGER + 1), CHUNK):
             size = min(CHUNK, n - TRIGGER + 1 - a)
             v = np.ndarray((size,), "<u8", self.data, a, (1,))
-            found.append(a + np.flatnonzero((v * _TRIGGER_MULTIPLIER) >> np.uint64(64 - PHRASE_BITS) == 0))
+            found.append(a + np.flatnonzero((v * np.uint64(TRIGGER_MULTIPLIER)) >> np.uint64(64 - PHRASE_BITS) == 0))
         at = np.concatenate(found) if found else np.empty(0, np.int64)
         doc = np.searchsorted(self.bounds, at, "right") - 1
         inside = at + TRIGGER <= self.bounds[doc + 1]

@@ -391,6 +391,70 @@ def test_host_boilerplate(spark):
     assert (got[100]["text"], got[101]["text"]) == ("", "kept ©")
 
 
+def plain_boilerplate(pages, depth=html_text.DEPTH):
+    """Which blocks of a host's different pages go, by counting the pages of every string."""
+    strings = [[[tuple(line.split()[i : i + depth]) for i in range(len(line.split()))] for _, line in own] for own in pages]
+    count: dict = {}
+    for own in strings:
+        for x in {x for block in own for x in block}:
+            count[x] = count.get(x, 0) + 1
+    out = []
+    for own, blocks in zip(pages, strings):
+        gone = []
+        for (zone, _), block in zip(own, blocks):
+            need = max(html_text.MAIN_PAGES, html_text.MAIN_SHARE * len(pages)) if zone == html_text.MAIN else max(html_text.OTHER_PAGES, html_text.OTHER_SHARE * len(pages))
+            covered = {j for i, x in enumerate(block) if count[x] >= need for j in range(i, min(len(block), i + depth))}
+            gone.append(len(covered) >= html_text.COVERED * len(block))
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("shard", [html_text.SHARD_BYTES, 2500])
+def test_boilerplate_against_plain(spark, monkeypatch, shard):
+    """Repeats of all shares and lengths, across pages, of several hosts, in one task and in shards; repeated rows."""
+    rng = random.Random(shard)
+    monkeypatch.setattr(html_text, "SHARD_BYTES", shard)
+    words = lambda n: " ".join(f"w{rng.randrange(60)}" for _ in range(n))
+    rows = []
+    for host, n in (("a", 50), ("b", 9), ("c", 2), ("d", 25)):
+        shared = [words(rng.choice([3, 7, 12, 30])) for _ in range(8)]
+        for _ in range(n):
+            own = [words(rng.randint(4, 40)) for _ in range(3)] + [x if rng.random() < 0.5 else f"{x} {words(2)}" for k, x in enumerate(shared) if rng.random() < k / 7]
+            rng.shuffle(own)
+            tag = rng.choice(["article", "section", "section"])
+            rows.append((len(rows), f"http://{host}.net/{len(rows)}", f"<{tag}>{''.join(f'<p>{x}</p>' for x in own)}</{tag}>"))
+    rows += [rows[3], rows[3], (len(rows), *rows[60][1:]), (None, None, "<p>no url</p>"), (None, None, "<p>no url</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for c in ("host", "zones", "lines", "shard", "text", "n_chars", "parts", "content", "counts", "whole"):
+        df = df.withColumn(c, imatch.F.lit("clash"))
+    got = sorted((r["page_id"] is None, r["page_id"] or 0, r["text"]) for r in html_text.extract_text(df.repartition(4)).collect())
+    hosts: dict = {}
+    for i, u, h in rows:
+        hosts.setdefault((u or "")[:10], {}).setdefault(tuple(html_text.blocks(h)), []).append(i)
+    want, away = [], 0
+    for pages in hosts.values():
+        for (own, ids), gone in zip(pages.items(), plain_boilerplate(list(pages))):
+            main = any(z == html_text.MAIN for z, _ in own)
+            away += sum(gone)
+            want += [(i is None, i or 0, "\n".join(line for (z, line), g in zip(own, gone) if not g and (z == html_text.MAIN or not main))) for i in ids]
+    assert got == sorted(want) and away > 40
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        pages = ["<b>" * n + "</i>" * n, "<b>" * n + "<hr>" * n, "<p><ul>" + "<div>" * n + "<td></td>" * n, "<div class=ad>" * n + "<article>" + "x " * n, "<p>" * n + "</div>" * n, "<li>" * n + "</ul>" * n]
+        began = time.process_time()
+        for p in pages:
+            html_text.blocks(p)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16000) < 12 * max(seconds(4000), 0.05)
+    assert html_text.blocks("<article>" + "<p>one two</p>" * 30000 + "</article>") == [(html_text.MAIN, "one two")] * 30000
+
+
 def test_copies_of_an_article_are_one_page(spark):
     rng = random.Random(3)
     make = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(40))
@@ -441,6 +505,68 @@ def test_licenses(spark):
     assert got[5] == [("MIT-notice", 0, 10, 1.0)]
 
 
+def plain_licenses(text, known, containment=0.8):
+    """The notices of a text, by comparing every window with every template."""
+    s = licenses.shingles(licenses.word_hashes(licenses.fold((text or "").encode()))).tolist()
+    spans: dict = {}
+    for w, own in known.classes.items():
+        for a in range(0, max(1, len(s)), w // 4):
+            part = s[a : a + w - licenses.SHINGLE + 1]
+            for i in own:
+                mine = set(known.sets[i].tolist())
+                inside = [j for j, x in enumerate(part) if x in mine]
+                share = len({part[j] for j in inside}) / len(mine)
+                if share >= containment and all(set(n.tolist()) & set(part) for n in known.needed[i]):
+                    spans.setdefault(i, []).append([a + inside[0], a + inside[-1] + licenses.SHINGLE, share])
+    out = []
+    for i, found in spans.items():
+        joined: list = []
+        for a, b, share in sorted(found):
+            if joined and a < joined[-1][1]:
+                joined[-1][1:] = [max(b, joined[-1][1]), max(share, joined[-1][2])]
+            else:
+                joined.append([a, b, share])
+        out += [(i, a, b, share) for a, b, share in joined]
+    return {(known.names[i], a, b - a, share) for i, a, b, share in out if not any(c <= a and b <= d and d - c > b - a and known.family[i] == known.family[j] for j, c, d, _ in out)}
+
+
+def test_licenses_against_all_windows(spark):
+    rng = random.Random(15)
+    known, rows = licenses.Templates(licenses.TEMPLATES, 0.8), []
+    filler = lambda n: " ".join(rng.choice(["license", "software", "the", "version", "2", "a", "gnu", f"w{rng.randrange(99)}"]) for _ in range(n))
+    names = sorted(licenses.TEMPLATES)
+    for i in range(len(names)):
+        words = licenses.TEMPLATES[names[i]].split()
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = "changed"
+        more = licenses.TEMPLATES[rng.choice(names)] if i % 3 == 0 else ""
+        rows.append((i, f"{filler(rng.randrange(60))} {' '.join(words)} {filler(rng.randrange(9))} {more} {filler(20)}"))
+    rows += [(500, None), (501, ""), (502, "mit"), (503, rows[0][1]), (503, rows[0][1])]
+    rows += [(504, f"{filler(30000)} {licenses.TEMPLATES['MIT']} {filler(30000)}")]
+    got: dict = {}
+    for r in licenses.find_licenses(frame(spark, rows)).collect():
+        got.setdefault(r["doc_id"], []).append((r["license"], r["start_word"], r["n_words"], r["containment"]))
+    for i, t in rows:
+        times = sum(j == i for j, _ in rows)
+        assert sorted(got.get(i, [])) == sorted(list(plain_licenses(t, known)) * times), i
+    assert len(got) >= 40 and any(m[0] == "MIT" for m in got[504])
+
+
+def test_versions_of_licenses_are_told_apart():
+    known = licenses.Templates(licenses.TEMPLATES, 0.8)
+
+    def found(text):
+        s = licenses.shingles(licenses.word_hashes(licenses.fold(text.encode())))
+        return {m[0] for m in known.matches(s, np.flatnonzero(known.has(s)), 0.8)}
+
+    for name, text in licenses.TEMPLATES.items():
+        others = {known.family[known.names.index(m)] for m in found(f"x y z {text} and so on")} - {known.family[known.names.index(name)]}
+        assert others <= {"MIT", "BSD", "BSD-2-Clause"} and name in found(text), (name, others)
+    assert found("This work is licensed under the GNU General Public License, version 2.") == {"GPL-2.0-notice"}
+    assert found("This work is licensed under the GNU General Public License, version 1.") == set()
+    assert found(licenses.TEMPLATES["GPL-2.0"]) == {"GPL-2.0"} and found("SPDX-License-Identifier: GPL-3.0-or-later") == {"GPL-3.0-or-later-spdx"}
+
+
 def test_license_windows_miss_nothing():
     """Every template, wherever it stands in a text, is retrieved by the bands."""
     known = licenses.Templates(licenses.TEMPLATES, 0.8)
@@ -467,6 +593,45 @@ def test_language_id(spark):
     assert all(abs(again[i]["score"] - got[i]["score"]) < 1e-6 for i in got)
 
 
+def test_language_rejection(spark):
+    """Threshold from held-back texts: junk and other languages in the same script go, clean short and long texts stay."""
+    rng = random.Random(8)
+    parts = {"aa": ["ka", "ko", "ki", "ta", "mo"], "bb": ["schn", "ulb", "ung", "ein", "de"], "cc": ["eau", "ere", "ois", "que", "le"]}
+    text = lambda k, n: " ".join("".join(rng.choices(parts[k], k=rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(k, rng.choice([20, 60, 200])), k) for i, k in enumerate(rng.choices(list(parts), k=600))]
+    rows += [(600 + i, text("bb", 80), "aa") for i in range(3)]  # wrong labels
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = [
+        " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(200)),
+        "".join(rng.choices(letters + letters.upper() + "0123456789+/", k=900)),
+        "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita. " * 5,
+        "Kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. " * 5,
+    ]
+    assert model.classify(junk)[2].all()
+    clean = [text(k, n) for k in parts for n in (4, 8, 30, 3000)]
+    assert model.classify(clean)[2].sum() == 0 and model.classify(clean)[0] == [k for k in parts for _ in range(4)]
+
+
+def test_language_sample_is_bounded(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdef", k=4))
+    rows = [(None, " ".join(word() for _ in range(8)), "aa") for _ in range(3000)] + [(7, "the same row", "aa")] * 3000 + [(i, f"nine {word()}", "bb") for i in range(40)]
+    seen = []
+    original = language_id.clustered
+    try:
+        language_id.clustered = lambda x, k: seen.append(len(x)) or original(x, k)
+        model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), per_language=300)
+    finally:
+        language_id.clustered = original
+    assert set(model.languages) == {"aa", "bb"} and 20 < seen[0] < 300 and seen[1] == 27
+    tie = language_id.Model(["x", "y"], model.idf, np.repeat(model.centroids[:1], 2, axis=0), np.zeros(2))
+    assert tie.classify(["the same row"])[0] == ["x"]
+    odd = spark.createDataFrame([(None, "the same row", 1, 2), (1, "the same row", 3, 4)], "doc_id long, text string, told_0 int, score int")
+    got = language_id.identify(odd, model).collect()
+    assert [r["told_0"] for r in got] == [1, 3] and got[0]["score"] == got[1]["score"] > 0
+
+
 def test_imatch(spark, small_blocks):
     rows = corpus(9, 60)
     got = by_id(imatch.compare_with_edits(frame(spark, rows)))
@@ -487,6 +652,82 @@ def test_imatch(spark, small_blocks):
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"just this one te" + b"just th").hexdigest()
 
 
+def murmur(values, seed=42):
+    """Spark's hash of an array of longs."""
+    m = 0xFFFFFFFF
+    turn = lambda x, r: (x << r | x >> (32 - r)) & m
+    h = seed
+    for v in values:
+        for k in (v & m, v >> 32 & m):
+            k = turn(k * 0xCC9E2D51 & m, 15) * 0x1B873593 & m
+            h = (turn(h ^ k, 13) * 5 + 0xE6546B64) & m
+        h ^= 8
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            h = (h ^ h >> shift) * factor & m
+    return h
+
+
+def plain_imatch(rows):
+    """(fingerprints, edited fingerprints, near_edited, near_next) of all rows, term by term."""
+    import regex
+
+    n_buckets, subsets, levels = 1 << imatch.BUCKET_BITS, imatch.SUBSETS, imatch.LEVELS
+    signed = lambda u: u - (1 << 64) if u >> 63 else u
+    terms = lambda t: {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if w}
+    seen: dict = {}
+    for _, t in rows:
+        for b in {h % n_buckets for h in terms(t or "")}:
+            seen[b] = seen.get(b, 0) + 1
+    low, high = imatch.IDF_BAND
+    kept = {b for b, c in seen.items() if low <= np.log(len(rows) / c) <= high}
+
+    def fingerprint(t):
+        every = terms(t)
+        own = [h for h in every if h % n_buckets in kept]
+        own = sorted(own if len(own) >= imatch.LEAST_TERMS else every)
+        out = []
+        for level in range(levels):
+            few = [h for h in own if (h >> 20) % 4**level == 0]
+            if level < levels - 1 and len(own) > imatch.CROWDED * subsets * 4**level:
+                few = []
+            out += [murmur([h for h in few if (h >> 40) % subsets == s]) for s in range(subsets)]
+        return out
+
+    def like(x, y):
+        share = None
+        for level in range(levels):
+            part = [(p, q) for p, q in zip(x[level * subsets : (level + 1) * subsets], y[level * subsets : (level + 1) * subsets]) if (p, q) != (42, 42)]
+            if part and (len(part) >= subsets // 2 or level == 0):
+                share = sum(p == q for p, q in part) / len(part)
+        if share is None:
+            share = float(all(v == 42 for v in (*x, *y)))
+        return 2 * share / (1 + share)
+
+    order = sorted(rows, key=lambda r: -r[0])
+    fps = [fingerprint(t or "") for _, t in order]
+    out = {}
+    for n, (i, t) in enumerate(order):
+        t, following = t or "", order[(n + 1) % len(order)][1] or ""
+        third = len(t) // 3
+        edited = fingerprint(t[: len(t) - third] + following[:third])
+        out[i] = tuple("".join(f"{x:08x}" for x in f) for f in (fps[n], edited)) + (like(fps[n], edited), like(fps[n], fps[(n + 1) % len(order)]))
+    return out
+
+
+@pytest.mark.parametrize("band", [imatch.IDF_BAND, (0.5, 3.0)])
+def test_imatch_against_plain(spark, small_blocks, monkeypatch, band):
+    """Fingerprints and likenesses, with both edges of the band at work, of short, long and very long texts."""
+    rng = random.Random(6)
+    monkeypatch.setattr(imatch, "IDF_BAND", band)
+    rows = corpus(12, 50)
+    rows += [(200 + i, " ".join(f"x{rng.randrange(20000)}" for _ in range(n))) for i, n in enumerate((300, 900, 3000, 3000, 20000))]
+    got = by_id(imatch.compare_with_edits(frame(spark, rows), band=band))
+    for i, (fp, edited, near_edited, near_next) in plain_imatch(rows).items():
+        r = got[i]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (fp, edited), i
+        assert (r["near_edited"], r["near_next"]) == (pytest.approx(near_edited), pytest.approx(near_next)), i
+
+
 def test_imatch_of_very_long_texts(spark):
     n = imatch.CROWDED * imatch.SUBSETS * 4 ** (imatch.LEVELS - 1) + 2000
     rows = [(0, " ".join(f"a{i}" for i in range(n))), (1, " ".join(f"b{i}" for i in range(n))), (2, "")]
@@ -554,64 +795,176 @@ def test_bands_miss_nothing():
         assert set(links.ravel().tolist()) == set(range(m))
 
 
-def test_similar_forest_connects():
-    sets = [np.sort(np.array(s, np.uint64)) for s in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 6], [9, 10], [], [1, 2, 3, 4, 5, 6, 7], [9, 10])]
-    links = simhash.similar_forest(np.arange(10, 16), sets, 0.8)
-    assert {frozenset(x) for x in links} == {frozenset((10, 11)), frozenset((11, 14)), frozenset((12, 15))}
+def test_verified_links_connect(spark, monkeypatch):
+    """Groups of near copies, chains and strangers in components, in one part and in many."""
+    rng = random.Random(3)
+    sets: dict[int, tuple[int, set]] = {}
+    for root in range(1, 6):
+        base = {rng.randrange(1 << 40) for _ in range(60)}
+        for i in range(30):
+            own = set(base)
+            for x in rng.sample(sorted(own), rng.randrange(0, 24)):
+                own.remove(x)
+                own.add(rng.randrange(1 << 40))
+            if i == 7:
+                own = {rng.randrange(1 << 40) for _ in range(50)}
+            sets[1000 * root + i] = (1000 * root, own)
+    sets |= {9001: (9001, set()), 9002: (9001, set()), 9003: (9001, {1, 2})}
+    rows = [(i, root, len(s), bytearray(np.sort(np.array(sorted(s), np.uint64)).tobytes())) for i, (root, s) in sets.items()]
+    members = spark.createDataFrame(rows, "node long, root long, n long, shingles binary").repartition(3)
+    near = lambda a, b: sets[a][0] == sets[b][0] and len(sets[a][1] & sets[b][1]) >= 0.8 * len(sets[a][1] | sets[b][1])
+
+    def least(pairs):
+        comp = {i: i for i in sets}
+        while True:
+            new = {i: min([comp[i], *(comp[b] for a, b in pairs if a == i), *(comp[a] for a, b in pairs if b == i)]) for i in sets}
+            if new == comp:
+                return comp
+            comp = new
+
+    want = least([(a, b) for a in sets for b in sets if a < b and near(a, b)])
+    for part in (simhash.PART_SHINGLES, 300):
+        monkeypatch.setattr(simhash, "PART_SHINGLES", part)
+        links = [(r["a"], r["b"]) for r in simhash.verified_links(members, 0.8).collect()]
+        assert least(links) == want
+    assert len(set(want.values())) > 7
+
+
+def test_simhash_of_a_set():
+    h = np.array([3, 1, 8 + (1 << 63)], np.uint64)
+    assert simhash.majority(h) == 1 and simhash.majority(np.empty(0, np.uint64)) == 0
+
+
+# --- edge cases of all operators ---
+
+
+def test_empty_tables_of_near_duplicates(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.near_duplicate_groups(empty).count() == 0 and simhash.near_duplicate_classes(empty).count() == 0
+    assert language_id.fit(empty.withColumn("lang", empty.text)).languages == []
+
+
+def test_repeated_rows(spark):
+    """Every row has its result, and repeated rows equal ones."""
+    text = "some text that is Released under the MIT License. " * 3 + "w1 w2 w3 w4 w5 w6"
+    df = frame(spark, [(1, text), (1, text), (2, "another one here with words"), (None, None), (None, None)]).withColumn("lang", imatch.F.lit("en"))
+    for got in (language_id.fit_and_identify(df), imatch.compare_with_edits(df), simhash.simhash_groups(df), byte_bpe.encode_decode(df, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)):
+        rows = got.collect()
+        assert sorted(r["doc_id"] or 0 for r in rows) == [0, 0, 1, 1, 2]
+        one = [r for r in rows if r["doc_id"] == 1]
+        same = [c for c in got.columns if c not in ("near_next", "near_edited", "edited_sha256", "edited_fingerprint")]
+        assert [one[0][c] for c in same] == [one[1][c] for c in same]
+    assert sorted(r["doc_id"] for r in licenses.find_licenses(df).collect()) == [1, 1]
+
+
+def test_very_long_texts(spark):
+    """Whole texts count, however long: what stands at the end of some megabytes is found."""
+    rng = random.Random(2)
+    body = " ".join(f"w{rng.randrange(5000)}" for _ in range(400_000))
+    df = spark.createDataFrame([(1, f"{body} Licensed under the Apache License, Version 2.0."), (2, f"{body} tail")], "doc_id long, text string")
+    assert [(r["doc_id"], r["license"], r["start_word"]) for r in licenses.find_licenses(df).collect()] == [(1, "Apache-2.0-notice", 400_000)]
+    got = by_id(imatch.compare_with_edits(df, band=(0.0, 9.0)))
+    assert got[1]["n_chars"] == len(body) + 48 and got[1]["near_next"] > 0.95 and got[1]["fingerprint"] != "0000002a" * imatch.SUBSETS * imatch.LEVELS
+    pieces = packing.pack(df, public_tokenizers.path("word_bpe_49k.json")).collect()
+    for i in (1, 2):
+        own = sorted((r["start"], r["length"], r["doc_tokens"]) for r in pieces if r["doc_id"] == i)
+        assert sum(n for _, n, _ in own) == own[0][2] > 400_000 and all(a + n == b for (a, n, _), (b, _, _) in zip(own, own[1:]))
+    page = spark.createDataFrame([(1, "https://h.com", "<nav>x</nav><article>" + "".join(f"<p>{w}</p>" for w in body.split()[:100_000]) + "</article>")], "page_id long, url string, html string")
+    assert html_text.extract_text(page).first()["text"].split("\n") == body.split()[:100_000]
+
+
+def test_patterns_that_are_not_understood():
+    ranks = {bytes([i]): i for i in range(256)}
+    for bad in (r"[a\s]+|.", r"[\S]+", r"[^a\s]"):
+        with pytest.raises(ValueError):
+            byte_bpe.ByteBPE(ranks, bad)
+    byte_bpe.ByteBPE(ranks, r"[^\s\p{L}]+|\s+(?!\S)|\[\s")
+
+
+def test_registered_sql(spark, tmp_path):
+    """The queries with SQL give what DuckDB gives, on a table small enough for both."""
+    import duckdb
+
+    from skyloom.llm import queries, sql
+
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in corpus(17, 50)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(9, 8))
+    vectors = [(i, [float(x) for x in base[i % 9] + rng.normal(size=8) * 0.1]) for i in range(60)] + [(60, None), (61, [0.0] * 8)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    duck = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        duck.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for name, text in sql.ORACLES.items():
+        want, got = duck.sql(text), queries.queries()[name](spark, str(tmp_path))
+        assert sorted(want.columns) == sorted(got.columns)
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall()), name
 
 
-def test_stars():
-    from skyloom.llm.components import stars
+# --- the pipeline ---
 
-    rng = np.random.default_rng(3)
-    for n, m in ((2, 1), (50, 30), (400, 500), (300, 299)):
-        pairs = rng.integers(0, n, (m, 2)) if m != 299 else np.column_stack([np.arange(299), np.arange(1, 300)])
-        least = np.arange(n)
-        for _ in range(n):
-            for a, b in pairs:
-                least[a] = least[b] = min(least[a], least[b])
-        assert {(a, b) for a, b in stars(pairs).tolist()} == {(int(i), int(least[i])) for i in np.unique(pairs) if least[i] != i}
-    assert stars(np.empty((0, 2), np.int64)).shape == (0, 2)
+
+def documents_of(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
 
 
-def test_pipeline(spark, tmp_path):
+def test_stages_on_empty_tables(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
-    rng = random.Random(2)
-    make = lambda n: " ".join("".join(rng.choices(["ka", "ko", "mi", "tu"], k=3)) for _ in range(n))
-    passage = make(120)
-    rows = [(i, make(80) + (" " + passage if i in (3, 5) else ""), "aa", f"s{i % 3}", 1) for i in range(60)]
-    rows += [(100, rows[7][1], "aa", "s", 1), (101, rows[8][1] + " end", "aa", "s", 1), (102, None, None, None, None), (103, "?!", "aa", "s", 2)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    df.withColumn("extra", df.doc_id).write.parquet(str(tmp_path / "documents.parquet"))
-    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
-    for n, (name, stage) in enumerate(pipeline.STAGES):
-        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{n}"))
-        docs = spark.read.parquet(str(tmp_path / f"{n}"))
-        kept[name] = {r["doc_id"]: r for r in docs.collect()}
-        if n < 3:
-            assert docs.columns == list(pipeline.COLUMNS)
-    assert set(kept["language_id"]) == {r[0] for r in rows} - {102, 103}
-    assert set(kept["simhash_dedup"]) == set(range(60))
-    assert set(kept["suffix_dedup"]) == set(range(60))
-    assert all(passage[:300] not in r["text"] and r["n_chars"] == len(r["text"]) for r in kept["suffix_dedup"].values())
-    assert kept["suffix_dedup"][0]["text"] == rows[0][1]
-    assert sum(r["length"] for r in docs.collect()) == sum(r["doc_tokens"] for r in docs.dropDuplicates(["doc_id"]).collect())
-    assert pipeline.run(spark, str(tmp_path)).count() == docs.count()
-
-
-def test_pipeline_keeps_one_row_of_a_group(spark, tmp_path):
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, documents_of(spark, []), "").count() == 0
+
+
+def test_language_stage_with_null_ids(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
-    rng = random.Random(8)
-    make = lambda: " ".join("".join(rng.choices(["ka", "ko", "mi", "tu"], k=3)) for _ in range(120))
-    texts = [make() for _ in range(40)]
-    rows = [(i, t, "aa", "s", 1) for i, t in enumerate(texts)]
-    rows += [rows[5], rows[5], (None, texts[3], "aa", "s", 1), (7, texts[2] + " end", "aa", "s", 1)]  # repeated, without id, an id of another text
-    rows += [(None, t, "aa", "s", 1) for t in (make(), make())]
-    docs, n = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), 0
-    for name, stage in pipeline.STAGES:
-        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-        if name in ("simhash_dedup", "suffix_dedup"):
-            assert sorted(r["text"] for r in docs.collect()) == sorted([*texts, rows[-2][1], rows[-1][1]])
-            assert sorted(r["doc_id"] for r in docs.where("doc_id is not null").collect()) == list(range(40))
-    assert docs.count() > 0
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choices(["ka", "ko", "ki", "ta"], k=2)) for _ in range(40))
+    rows = [(None, text(), "aa", "s", 1) for _ in range(300)] + [(1, text(), "aa", "s", 1)] * 2 + [(2, None, "aa", "s", 0), (3, "中文" * 200, None, "s", 400)]
+    got = pipeline.language_id(spark, documents_of(spark, rows), "")
+    assert got.columns == list(pipeline.COLUMNS) and sorted(r["doc_id"] or 0 for r in got.collect()) == [0] * 300 + [1, 1]
+
+
+def test_pipeline_against_plain(spark):
+    """The near-dedup and the suffix stage against brute force, with repeated rows, shared ids and null ids."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(31)
+    make = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    passage = " ".join(make(60))
+    texts = [" ".join(make(rng.choice([20, 80, 200]))) for _ in range(30)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    for i in range(0, 30, 3):  # near copies, at ids of their own and of others, and without ids
+        w = texts[i].split()
+        w[rng.randrange(len(w))] = "changed"
+        rows.append((rng.choice([None, 100 + i, i + 1]), " ".join(w), "en", "t", 1))
+    rows += [rows[2], rows[2], (None, texts[4], "en", "u", 1)]
+    rows += [(200 + i, f"{' '.join(make(70))} {passage} {' '.join(make(70))}", "en", "s", 1) for i in range(5)]
+    kept = pipeline.simhash_dedup(spark, documents_of(spark, rows), "")
+    sets = []
+    for r in rows:
+        w = (r[1] or "").lower().split()
+        sets.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))})
+    near = lambda a, b: rows[a][1] == rows[b][1] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    comp = list(range(len(rows)))
+    while True:
+        new = [min(comp[b] for b in range(len(rows)) if near(a, b)) for a in range(len(rows))]
+        if new == comp:
+            break
+        comp = new
+    order = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    want = sorted((min((rows[i] for i in range(len(rows)) if comp[i] == c), key=order) for c in set(comp)), key=order)
+    assert sorted(map(tuple, kept.collect()), key=order) == want and len(want) < len(rows) - 8
+    cut = pipeline.suffix_dedup(spark, kept, "")
+    assert cut.columns == list(pipeline.COLUMNS)
+    seen: set[bytes] = set()
+    expected = []
+    for r in want[-1:] * (want[-1][0] is None) + [r for r in want if r[0] is not None]:
+        b = r[1].encode()
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - pipeline.PASSAGE_BYTES + 1):
+            if b[s : s + pipeline.PASSAGE_BYTES] in seen:
+                gone[s : s + pipeline.PASSAGE_BYTES] = True
+            seen.add(b[s : s + pipeline.PASSAGE_BYTES])
+        expected.append((r[0], bytes(x for x, g in zip(b, gone) if not g).decode()))
+    got = sorted(((r["doc_id"], r["text"]) for r in cut.collect()), key=lambda r: order((*r,)))
+    assert got == sorted(expected, key=lambda r: order((*r,)))
+    assert sum(passage in t for _, t in got) == 1
