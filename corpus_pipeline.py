@@ -6,13 +6,11 @@ written as Parquet and read again as the next stage's docs. All but the last ret
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.frames import checkpointed, shared_dir
+from skyloom.llm.frames import checkpointed, delete, temporary
 from skyloom.llm.language_id import fit, identify
 from skyloom.llm.packing import pack
 from skyloom.llm.simhash import BROADCAST_IDS, near_duplicate_classes
@@ -73,14 +71,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; what a stage returns goes through Parquet in the shared folder."""
+    """All stages over the documents table; what a stage returns goes through Parquet in the shared folder, and goes away when
+    the next one has read it (that of the last but one when the driver ends)."""
     importable(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        if (name, stage) == STAGES[-1]:
-            return out
-        out.write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
-    return docs
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        path = temporary(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
