@@ -215,11 +215,7 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
         p = Parse(table, length)
         repeated = B.isin_sorted(cells(p), B.gathered(_kind(back, 0)))
         which, end = contexts_of(p, repeated)
-        key, more = range_hashes(p.data, p.start[which], end)
-        if passage is not None:
-            _, _, k, m = short_runs(p, repeated)
-            key, more = np.concatenate([key, k]), np.concatenate([more, m])
-        return sent(table["block"][0].as_py(), key, more, times)
+        return sent(table["block"][0].as_py(), *range_hashes(p.data, p.start[which], end), times)
 
     def settle(p: Parse, back: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """(starts that repeat by step 2, starts left for step 3), both as masks."""
@@ -258,7 +254,11 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
         p = Parse(table, length)
         settled, left = settle(p, back)
         at = compared(p, back, settled | left)
-        return sent(table["block"][0].as_py(), *range_hashes(p.data, at, at + length), times)
+        key, more = range_hashes(p.data, at, at + length)
+        if passage is not None:  # with the last keys, as only the last step asks for them
+            _, _, k, m = short_runs(p, B.isin_sorted(cells(p), B.gathered(_kind(back, 0))))
+            key, more = np.concatenate([key, k]), np.concatenate([more, m])
+        return sent(table["block"][0].as_py(), key, more, times)
 
     def remove(table: pa.Table, back: pa.Table) -> pa.Table:
         p = Parse(table, length)
@@ -271,7 +271,7 @@ def remove_repeated_strings(docs: DataFrame, doc_id: str = "doc_id", text: str =
         short = None
         if passage is not None:
             start, end, key, more = short_runs(p, B.isin_sorted(cells(p), B.gathered(_kind(back, 0))))
-            hit = marked(key, more, back, 1)
+            hit = marked(key, more, back, 3)
             short = np.concatenate([[0], np.cumsum(p.marks(start[hit], end[hit]))])
         view = memoryview(p.data)
         out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []} | ({} if short is None else {"n_repeated": []})
