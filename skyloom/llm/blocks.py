@@ -29,8 +29,8 @@ SLICE_KEYS = 1_000_000
 GROWS_FROM = 64 << 30
 """Bytes of text from which blocks and slices grow."""
 
-SAMPLES = 64
-"""Keys per block that place the blocks' boundaries."""
+SAMPLES = 256
+"""Keys per block that place the blocks' boundaries; fewer, 16 at least, as blocks grow."""
 
 FRAGMENT = "block int, slice int, payload binary"
 
@@ -52,7 +52,7 @@ def with_block(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BY
     several blocks is dealt to as many by a hash of the text.
 
     Returns the frame, the number of blocks and the bytes of text. The driver holds one boundary per block (they come from
-    SAMPLES keys per block; where they lie changes no result), and the plan holds them as one literal.
+    some keys per block; where they lie changes no result), and the plan holds them as one literal.
     """
     n, size = text_stats(docs, text)
     blocks = max(1, min(n, math.ceil(size / (block_bytes * growth(size)))))
@@ -60,9 +60,10 @@ def with_block(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BY
         return docs.withColumn("block", F.lit(0)), 1, size
     value = F.coalesce(docs[key].cast("long"), F.lit(-(1 << 63)))
     keys = docs.select(value.alias("k"))
-    if SAMPLES * blocks < n:
-        keys = keys.sample(SAMPLES * blocks / n, 0)
-    found = keys.agg(F.percentile_approx("k", F.lit(np.arange(1, blocks) / blocks), SAMPLES * blocks)).first()[0]
+    wanted = blocks * max(16, int(SAMPLES / growth(size)))
+    if wanted < n:
+        keys = keys.sample(wanted / n, 0)
+    found = keys.agg(F.percentile_approx("k", F.lit(np.arange(1, blocks) / blocks), wanted)).first()[0]
     cuts = np.array(found or [0], np.int64)
     # two levels of at most sqrt(blocks) comparisons each, instead of one scan of all boundaries for each row
     step = max(1, math.isqrt(len(cuts)))

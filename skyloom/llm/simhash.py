@@ -249,7 +249,7 @@ PART_SHINGLES = 2_000_000
 """Shingles of a component that one task compares with as many others at most."""
 PIVOT_BYTES = 64 << 20
 """Up to so many bytes of shingles of the components' roots are broadcast."""
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 250_000
 """Up to so many ids are broadcast (16 bytes each); beyond that tables are joined by id."""
 
 
@@ -414,9 +414,9 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", shingle: int = S
     by_bands = signed.select("node", "n", "signature").mapInArrow(scatter, B.FRAGMENT).groupBy("slice").applyInArrow(trimmed(candidates), "a long, b long")
     fps = checkpointed(signed.groupBy("fp").agg(F.min("node").alias("first")))
     n_fps = fps.count()
-    first = lambda name: few(fps.select(F.col("fp").alias(name), F.col("first").alias(f"first_{name}")), n_fps)
+    first = lambda name: fps.select(F.col("fp").alias(name), F.col("first").alias(f"first_{name}"))
     by_keys = fingerprint_links(fps, n_fps).join(first("a"), "a").join(first("b"), "b").select("first_a", "first_b")
-    by_equal = signed.select("node", "fp").join(few(fps, n_fps), "fp").where("node <> first").select("node", "first")
+    by_equal = signed.select("node", "fp").join(fps, "fp").where("node <> first").select("node", "first")
     coarse = checkpointed(connected_components(by_bands.unionAll(by_keys).unionAll(by_equal)))
 
     def sets(batches):
