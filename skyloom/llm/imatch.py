@@ -25,14 +25,16 @@ IDF_BAND = (3.5, 9.0)
 """ln(documents / documents with the term): terms of 3 % of the documents and more tell little, those of 0.01 % and less are
 often slips, which a near copy has others of. The upper edge acts from 8104 documents on."""
 LEAST_TERMS = 4
-"""A text with fewer terms in the lexicon is fingerprinted by all its terms."""
-SUBSETS = 32
+"""A text with fewer terms in the lexicon is fingerprinted by all its terms: so few tell nothing, and none would make it like
+an empty text."""
+SUBSET_BITS = 5
+SUBSETS = 1 << SUBSET_BITS
 LEVELS = 6
 CROWDED = 8
 """Subsets that would hold more terms of a text than this on average are left empty in its fingerprint: with so many,
 any edit changes them all. Those of the last level never are, so that no text with terms has the fingerprint of an empty one."""
 EMPTY = 42
-"""Spark's hash of an empty array: a subset without terms."""
+"""What a subset without terms has; a hash of terms begins with it."""
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -61,6 +63,19 @@ def lexicon(docs: DataFrame, text: str = "text", band: tuple[float, float] = IDF
     return F.lit(bitmap)
 
 
+def subset_hashes(chosen: Column) -> Column:
+    """SUBSETS integers: the hash of the terms of each subset, told by a term's highest bits; one pass over the sorted terms,
+    in which the subsets follow one another."""
+    number = lambda h: (F.shiftright(h, 64 - SUBSET_BITS) + SUBSETS // 2).cast("int")
+    state = lambda done, at, hash_: F.struct(done.alias("done"), at.alias("at"), hash_.alias("hash"))
+    closed = lambda a, upto: F.concat(a["done"], F.array(a["hash"]), F.array_repeat(F.lit(EMPTY), upto - a["at"] - 1))
+
+    def add(a: Column, h: Column) -> Column:
+        return F.when(number(h) == a["at"], state(a["done"], a["at"], F.hash(a["hash"], h))).otherwise(state(closed(a, number(h)), number(h), F.hash(F.lit(EMPTY), h)))
+
+    return F.aggregate(chosen, state(F.array().cast("array<int>"), F.lit(0), F.lit(EMPTY)), add, lambda a: closed(a, F.lit(SUBSETS)))
+
+
 def fingerprint(text: Column, lexicon_: Column) -> Column:
     """SUBSETS * LEVELS integers: the hashes of the sorted terms in each subset of the lexicon, the largest subsets first."""
 
@@ -69,16 +84,15 @@ def fingerprint(text: Column, lexicon_: Column) -> Column:
         word = F.get(lexicon_, F.shiftright(bucket, 6))
         return F.call_function("shiftrightunsigned", word, bucket.bitwiseAND(63)).bitwiseAND(1) == 1
 
-    def level(own: Column, i: int) -> Column:
-        mask = (1 << 2 * i) - 1
-        chosen = F.filter(own, lambda h: F.shiftright(h, 20).bitwiseAND(mask) == 0)
-        if i < LEVELS - 1:
-            chosen = F.when(F.size(own) <= CROWDED * SUBSETS * 4**i, chosen).otherwise(F.array().cast("array<bigint>"))
-        number = lambda h: F.shiftright(h, 40).bitwiseAND(SUBSETS - 1)
-        return let(chosen, lambda c: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda s: F.hash(F.filter(c, lambda h: number(h) == s))))
+    def levels(chosen: Column, n: Column, i: int) -> Column:
+        if i == LEVELS - 1:
+            return subset_hashes(chosen)
+        own = F.when(n <= CROWDED * SUBSETS * 4**i, subset_hashes(chosen)).otherwise(F.array_repeat(F.lit(EMPTY), SUBSETS))
+        rest = F.filter(chosen, lambda h: F.shiftright(h, 20 + 2 * i).bitwiseAND(3) == 0)
+        return F.concat(own, let(rest, lambda c: levels(c, n, i + 1)))
 
-    own = let(terms(text), lambda t: let(F.filter(t, listed), lambda b: F.array_sort(F.when(F.size(b) >= LEAST_TERMS, b).otherwise(t))))
-    return let(own, lambda o: F.concat(*[level(o, i) for i in range(LEVELS)]))
+    own = let(terms(text), lambda t: let(F.filter(t, listed), lambda b: F.sort_array(F.when(F.size(b) >= LEAST_TERMS, b).otherwise(t))))
+    return let(own, lambda o: levels(o, F.size(o), 0))
 
 
 def likeness(a: Column, b: Column) -> Column:
