@@ -37,10 +37,13 @@ def upsert(new: DataFrame, stored: DataFrame, key: str, keep_stored: tuple[str,
     return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full").select(*out)
 
 
+VERDICTS = {"confirm": "confirmed", "reject": "rejected"}
+
+
 def latest_status(relations: DataFrame, feedback: DataFrame) -> DataFrame:
     """Each relation's status, as the last confirmation or rejection left it."""
-    verdict = F.when(F.col("rating") == "confirm", "confirmed").when(F.col("rating") == "reject", "rejected")
-    told = feedback.where((F.col("kind") == "event_relation") & F.col("rating").isin("confirm", "reject"))
+    verdict = F.create_map(*[F.lit(x) for pair in VERDICTS.items() for x in pair])[F.col("rating")]
+    told = feedback.where((F.col("kind") == "event_relation") & F.col("rating").isin(*VERDICTS))
     last = told.groupBy("target_id").agg(F.max_by(verdict, "id").alias("_verdict"))
     return relations.join(last, relations["id"] == last["target_id"], "left").withColumn("status", F.coalesce("_verdict", "status")).drop("target_id", "_verdict")
 

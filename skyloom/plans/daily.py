@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import dataclasses
 import datetime as dt
+import itertools
 import json
 from pathlib import Path
 
@@ -27,6 +28,7 @@ class Options:
     trace_n: int = 3
     trace_days: int = 180
     trigger: str = "manual"
+    cards_per_prompt: int = 200
     title: str = brief.TITLE
 
 
@@ -94,8 +96,13 @@ def _run(store, run_id, sources, now, out_dir, options, injected, fetch_fn, back
     cards = events.select("id", "title").join(screen.card_text(members, sources).withColumnRenamed("event_id", "id"), "id", "left")
     screened = screen.screen(cards)
     if backend:
-        told = backends.screened(backend, [r.asDict() for r in cards.orderBy("id").collect()])
-        screened = spark.createDataFrame(told, "id bigint, relevant boolean, topic string, severity double, reason string") if told else screened
+        told = []
+        rest = cards.orderBy("id").toLocalIterator()
+        while batch := [r.asDict() for r in itertools.islice(rest, options.cards_per_prompt)]:
+            told += backends.screened(backend, batch) or []
+        judged = spark.createDataFrame(told, "id bigint, relevant boolean, topic string, severity double, reason string")
+        by_rule = screened.join(judged.select("id"), "id", "left_anti").select(judged.columns)
+        screened = cut(judged.unionAll(by_rule))
     at = F.lit(now).cast("timestamp")
     ranked = cut(screen.scored(events, screened, sources, at).orderBy(F.desc("score"), "id"))
     n_events = ranked.count()

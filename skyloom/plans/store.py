@@ -36,8 +36,8 @@ class Store:
         out = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in columns])
         out.write.mode("append").parquet(f"{self.root}/{name}")
 
-    def next_id(self, name: str) -> int:
-        return int(self.table(name).agg(F.max("id")).first()[0] or 0) + 1
+    def next_id(self, name: str, column: str = "id") -> int:
+        return int(self.table(name).agg(F.max(column)).first()[0] or 0) + 1
 
     def add(self, name: str, values: dict) -> int:
         """One row with the next id."""
@@ -49,18 +49,19 @@ class Store:
     # --- sources ---
 
     def upsert_sources(self, sources: DataFrame, at: dt.datetime) -> None:
-        """Every column of a known source is replaced, but not its health."""
-        self.append("source_health", sources.join(self.table("source_health"), F.col("id") == F.col("source_id"), "left_anti").select(F.col("id").alias("source_id"), F.lit('{"ok": true}').alias("health"), F.lit(at).alias("checked_at")))
-        merged = relational.upsert(sources.withColumn("health", F.lit(None).cast("string")), self.table("sources"), "id")
-        merged = self.spark.createDataFrame(merged.collect(), merged.schema)  # a dimension: as many rows as there are sources
-        merged.write.mode("overwrite").parquet(f"{self.root}/sources")
+        """Every column of a known source is replaced, but not its health. What was is kept; the latest version counts."""
+        new = sources.join(self.table("source_health"), F.col("id") == F.col("source_id"), "left_anti")
+        self.append("source_health", new.select(F.col("id").alias("source_id"), F.lit('{"ok": true}').alias("health"), F.lit(at).alias("checked_at")))
+        self.append("sources", sources.withColumn("version", F.lit(self.next_id("sources", "version"))))
 
     def update_health(self, health: DataFrame, at: dt.datetime) -> None:
         self.append("source_health", health.withColumn("checked_at", F.lit(at)))
 
     def sources(self) -> DataFrame:
-        last = self.table("source_health").groupBy("source_id").agg(F.max_by("health", "checked_at").alias("_health"))
-        return self.table("sources").drop("health").join(last, F.col("id") == F.col("source_id"), "left").drop("source_id").withColumnRenamed("_health", "health")
+        columns = [c for c in self.table("sources").columns if c not in ("id", "version")]
+        latest = self.table("sources").groupBy("id").agg(F.max_by(F.struct(*columns), "version").alias("s")).select("id", "s.*")
+        last = self.table("source_health").groupBy("source_id").agg(F.max_by("health", "checked_at").alias("health"))
+        return latest.join(last, F.col("id") == F.col("source_id"), "left").drop("source_id")
 
     # --- articles and events ---
 
@@ -91,16 +92,25 @@ class Store:
         self.append("event_relations", rows)
         return rows.count()
 
+    def set_relation_status(self, relation_id: int, status: str, at: dt.datetime) -> bool:
+        """Whether there is such a relation; its status is this one from now on."""
+        known = not self.table("event_relations").where(F.col("id") == relation_id).isEmpty()
+        if known:
+            self.add("relation_status", {"relation_id": relation_id, "status": status, "set_at": at})
+        return known
+
     def relations(self) -> DataFrame:
-        return relational.latest_status(self.table("event_relations"), self.table("feedback"))
+        last = self.table("relation_status").groupBy("relation_id").agg(F.max_by("status", "id").alias("_status"))
+        told = self.table("event_relations").join(last, F.col("id") == F.col("relation_id"), "left")
+        return told.withColumn("status", F.coalesce("_status", "status")).drop("relation_id", "_status")
 
     def save_feedback(self, kind: str, target_id: int, rating: str, at: dt.datetime, note: str = "", ref: str = "") -> tuple[int, bool]:
         """(the feedback's id, whether a relation's status follows from it)."""
         if kind not in FEEDBACK_KINDS or rating not in RATINGS:
             raise ValueError(f"kinds are {FEEDBACK_KINDS}, ratings {RATINGS}")
         new = self.add("feedback", {"kind": kind, "target_id": target_id, "ref": ref, "rating": rating, "note": note, "created_at": at})
-        applied = kind == "event_relation" and rating in ("confirm", "reject") and not self.table("event_relations").where(F.col("id") == target_id).isEmpty()
-        return new, applied
+        status = relational.VERDICTS.get(rating) if kind == "event_relation" else None
+        return new, status is not None and self.set_relation_status(target_id, status, at)
 
     def feedback(self, kind: str | None = None, limit: int = 50) -> DataFrame:
         rows = self.table("feedback")
@@ -137,7 +147,7 @@ class Store:
         """(name, n): how many rows the main tables have."""
         out = None
         for name in ("sources", "articles", "events", "briefs", "citations", "event_relations", "feedback", "runs"):
-            rows = self.runs() if name == "runs" else self.table(name)
+            rows = {"runs": self.runs, "sources": self.sources}.get(name, lambda name=name: self.table(name))()
             one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
             out = one if out is None else out.unionAll(one)
         return out

@@ -9,7 +9,7 @@ EVENT = "id bigint, title string, category string, severity double, first_seen t
 EVIDENCE = "array<struct<article_id:bigint,span:string,url:string,verified:boolean>>"
 
 TABLES = {
-    "sources": f"{SOURCE}, health string",
+    "sources": f"{SOURCE}, version bigint",
     "source_health": "source_id string, health string, checked_at timestamp",
     "articles": ARTICLE,
     "events": EVENT,
@@ -17,6 +17,7 @@ TABLES = {
     "briefs": "id bigint, date string, kind string, title string, body_md string, published_at timestamp",
     "citations": "id bigint, brief_id bigint, event_id bigint, article_id bigint, span string, url string, verified boolean, created_at timestamp",
     "event_relations": f"id bigint, prior_event_id bigint, target_event_id bigint, type string, narrative string, evidence {EVIDENCE}, confidence double, status string, created_at timestamp",
+    "relation_status": "id bigint, relation_id bigint, status string, set_at timestamp",
     "feedback": "id bigint, kind string, target_id bigint, ref string, rating string, note string, created_at timestamp",
     "runs": "id bigint, kind string, trigger string, status string, created_at timestamp, checkpoint string",
     "steps": "run_id bigint, agent string, input_digest string, output_ref string, error_card string, started_at timestamp, ended_at timestamp",

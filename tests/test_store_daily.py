@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -102,6 +103,8 @@ def test_feedback_closes_the_loop(spark, tmp_path):
     assert store.save_feedback("event_relation", 1, "confirm", NOW) == (1, True)
     assert store.relations().first()["status"] == "confirmed"
     assert store.save_feedback("event_relation", 99, "reject", NOW) == (2, False)
+    assert store.set_relation_status(1, "auto", NOW) and store.relations().first()["status"] == "auto"
+    assert not store.set_relation_status(7, "auto", NOW)
     assert [r["id"] for r in store.feedback(limit=1).collect()] == [2]
     with pytest.raises(ValueError):
         store.save_feedback("other", 1, "good", NOW)
@@ -150,6 +153,24 @@ def test_backend_falls_back(spark, tmp_path):
     assert "### 1. H" in body and "引用待核" in body and "invented words" not in body and "LLM 分析 2/2" in body
 
 
+def test_cards_are_asked_in_batches(spark, tmp_path):
+    asked = []
+
+    class Screener(Fake):
+        def complete(self, prompt, context):
+            if prompt != "screener":
+                raise ValueError("no answer")
+            cards = json.loads(context["items_json"])
+            asked.append(len(cards))
+            if len(asked) == 2:
+                raise ValueError("no answer")
+            return {"results": [{"id": c["id"], "relevant": True, "topic": "sports", "severity": 1.1} for c in cards]}
+
+    store = Store(spark, str(tmp_path / "db"))
+    path = daily.run(store, config.sources_frame(spark, source_rows()), NOW, str(tmp_path / "out"), daily.Options(cards_per_prompt=1), injected=article_frame(spark, ARTICLES), backend=Screener())
+    assert asked == [1, 1, 1] and "sports" in open(path, encoding="utf-8").read()
+
+
 def test_chat_backend_repairs_and_retries():
     answers = iter(["nothing", '{"a": "x "y" z"}'])
     b = backends.ChatBackend("k", "http://h/", "m", lambda name: name + " {{ v }}")
