@@ -1,5 +1,5 @@
-"""DuckDB SQL for the registered queries. The folds (title_fuzzy_dedup, online_cluster and scored_events, which is built on it) have
-none; the tests compare them with plain Python."""
+"""DuckDB SQL for the registered queries. title_fuzzy_dedup has none, as DuckDB has no function like its
+similarity; the tests compare it with plain Python. The clustering fold is a recursion over the articles of all sessions at once."""
 
 from __future__ import annotations
 
@@ -75,6 +75,26 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY rel DESC, prior_id DESC) AS n FROM r
   WHERE lex < 0.6 AND rel >= 0.15 AND (len(shared) > 0 OR lex >= 0.15 OR topic = 1))"""
 
+_alike = lambda a, b: f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0 ELSE len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
+_CLUSTERS = rf"""
+art AS (SELECT doc_id AS id, TIMESTAMP '2024-01-01' + to_minutes(doc_id * 30 + (doc_id // 100) * 4800) AS ts, list_distinct(list_slice({_entities("text")}, 1, 12)) AS e,
+               list_distinct({_TOKENS % f"({_TITLE} || ' ' || left(text, 500))"}) AS t FROM documents),
+cut AS (SELECT *, sum(new) OVER (ORDER BY ts, id) AS session FROM (SELECT *, coalesce(epoch(ts) - epoch(lag(ts) OVER (ORDER BY ts, id)) > 72 * 3600, false)::INT AS new FROM art)),
+turn AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, id) AS k FROM cut),
+fold(session, k, ev, pick) AS (
+  SELECT DISTINCT session, 0::BIGINT, []::STRUCT(fe VARCHAR[], ft VARCHAR[], e VARCHAR[], t VARCHAR[], l TIMESTAMP)[], 0::BIGINT FROM turn
+  UNION ALL
+  SELECT session, k, CASE WHEN best > len(ev) THEN list_append(ev, {{'fe': e, 'ft': t, 'e': e, 't': t, 'l': ts}})
+                     ELSE list_transform(ev, lambda x, i: CASE WHEN i = best THEN {{'fe': x.fe, 'ft': x.ft, 'e': list_distinct(list_concat(x.e, e)), 't': list_distinct(list_concat(x.t, t)), 'l': greatest(x.l, ts)}} ELSE x END) END, best
+  FROM (SELECT *, CASE WHEN coalesce(list_max(scores), 0) >= 0.30 THEN list_position(scores, list_max(scores)) ELSE len(ev) + 1 END::BIGINT AS best
+        FROM (SELECT a.*, ev, list_transform(list_transform(ev, lambda x: {{'in': abs(epoch(ts) - epoch(x.l)) <= 72 * 3600,
+                       'e': greatest({_alike("a.e", "x.e")}, {_alike("a.e", "x.fe")}), 't': greatest({_alike("a.t", "x.t")}, {_alike("a.t", "x.ft")}),
+                       'n': greatest(len(list_intersect(a.e, x.e)), len(list_intersect(a.e, x.fe)))}}),
+                     lambda s: CASE WHEN NOT s['in'] THEN 0 WHEN s['t'] >= 0.35 THEN s['t'] WHEN s['e'] >= 0.67 AND s['n'] >= 2 THEN s['e'] WHEN s['e'] >= 0.5 AND s['t'] >= 0.15 THEN (s['e'] + s['t']) / 2 ELSE 0 END) AS scores
+              FROM fold f JOIN turn a ON a.session = f.session AND a.k = f.k + 1))),
+before AS (SELECT session, coalesce(sum(n) OVER (ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n0 FROM (SELECT session, max(pick) AS n FROM fold GROUP BY session)),
+clustered AS (SELECT turn.id, turn.ts, (n0 + pick)::BIGINT AS cluster_id FROM turn JOIN fold USING (session, k) JOIN before USING (session))"""
+
 ORACLES: dict[str, str] = {
     "url_canonicalize": f"WITH {_CANONICAL} SELECT page_id, canonical, sha256(canonical) AS url_hash FROM canonical",
     "url_dedup": f"WITH {_CANONICAL} SELECT min(page_id) AS page_id, sha256(canonical) AS url_hash FROM canonical GROUP BY canonical",
@@ -147,4 +167,13 @@ ORACLES: dict[str, str] = {
     "cjk_tokens": f"""WITH t AS (SELECT doc_id, lower({_TITLE}) AS t, regexp_extract_all(lower({_TITLE}), '[a-z]') AS c, regexp_extract_all({_TITLE}, '[0-9]+') AS n FROM documents)
         SELECT doc_id AS id, CASE WHEN len(c) / greatest(length(t), 1) > 0.15 THEN 'zh' ELSE 'en' END AS detected, (len(c) + len(n))::INT AS n_tokens,
                (len(list_distinct(c)) + len(list_distinct(n)) + len(list_distinct(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1]))))::INT AS n_different FROM t""",
+    "online_cluster": f"WITH RECURSIVE {_CLUSTERS} SELECT id, cluster_id FROM clustered",
+    "scored_events": f"""WITH RECURSIVE {_CLUSTERS}, {_WEIGHTS},
+        ev AS (SELECT cluster_id AS id, arg_min({_TITLE}, (ts, c.id)) AS title, count(*) AS n, count(DISTINCT source) AS s, max(weight) AS w, max(ts) AS seen
+               FROM clustered c JOIN documents d ON d.doc_id = c.id JOIN weights USING (source) GROUP BY cluster_id),
+        card AS (SELECT *, left(title, 1200) AS body FROM ev),
+        k AS (SELECT *, {_first(RULES.topics, "'other'", "'")} AS category, {_first(RULES.severities, "1.0", "")}::DOUBLE AS severity FROM card)
+        SELECT id, title, category, severity, n::INT AS n_articles, s::INT AS n_sources,
+               round(w * (1 + 0.25 * (s - 1)) * ln(1 + n) * severity * exp(-greatest(epoch(TIMESTAMP '2024-01-02') - epoch(seen), 0) / 3600 / 48), 4) AS score
+        FROM k WHERE category <> 'other'""",
 }
