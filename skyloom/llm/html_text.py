@@ -85,6 +85,12 @@ LOOK = 64
 """Tokens that are read ahead for an element's end before the ends of all elements of the page are found at once."""
 
 
+def _after_raw(page: str, tag: str, at: int) -> int:
+    """Where the page goes on after an element whose content is no markup."""
+    close = re.compile(f"</{tag}", re.I).search(page, at)
+    return len(page) if close is None else page.find(">", close.end()) + 1 or len(page)
+
+
 class _Ends:
     """Where the elements of a page end and where it has articles, told in time linear in the page."""
 
@@ -95,19 +101,23 @@ class _Ends:
     def _all(self) -> None:
         self.ends, self.marks = {}, {"main": [], "article": []}
         opened: dict[str, list[int]] = {}
-        for m in _TOKEN.finditer(self.page):
-            name = (m[2] or "").lower()
+        at = 0
+        while at < len(self.page):
+            m = _TOKEN.match(self.page, at)
+            at, name = m.end(), (m[2] or "").lower()
             if not name:
                 continue
-            if m[1]:
+            if name in _RAW and not m[1]:
+                at = _after_raw(self.page, name, at)
+            elif m[1]:
                 if opened.get(name):
                     self.ends[opened[name].pop()] = m.start()
-                continue
-            opened.setdefault(name, []).append(m.end())
-            if name in self.marks:
-                self.marks[name].append(m.start())
-            elif m[3] and _own_main(m[3]):
-                self.marks["article"].append(m.start())
+            else:
+                opened.setdefault(name, []).append(at)
+                if name in self.marks:
+                    self.marks[name].append(m.start())
+                elif m[3] and _own_main(m[3]):
+                    self.marks["article"].append(m.start())
 
     def holds(self, at: int, tag: str, tags: set[str]) -> bool:
         """Whether the element of this tag that was opened before `at` holds one of the tags, or an element of such a role."""
@@ -239,8 +249,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             text.append(" ")
             continue
         if tag in _RAW:
-            close = re.compile(f"</{tag}", re.I).search(page, at)
-            at = end if close is None else page.find(">", close.end()) + 1 or end
+            at = _after_raw(page, tag, at)
             continue
         if tag in _BLOCK:
             flush()

@@ -440,6 +440,16 @@ def test_boilerplate_against_plain(spark, monkeypatch, shard):
     assert got == sorted(want) and away > 40
 
 
+def test_large_elements_are_told_like_small_ones():
+    """What stands in an element of a boilerplate class stays if an article is in it, however far, and goes if none is."""
+    many = "<p>one</p>" * 200 + "<script>var t='</div></section>'</script>"
+    for outer in ("div", "section"):
+        inside = f"<{outer} class='sidebar'>{many}<article>the text</article>{many}</{outer}>"
+        beside = f"<{outer} class='sidebar'>{many}</{outer}><article>the text</article><{outer} class='sidebar'>{many}</{outer}>"
+        assert [t for z, t in html_text.blocks(inside) if z == html_text.MAIN] == ["the text"]
+        assert html_text.blocks(beside) == [(html_text.MAIN, "the text")]
+
+
 def test_long_pages_take_linear_time():
     import time
 
