@@ -247,7 +247,7 @@ BAND_KEYS = 250_000
 """Band keys (about 90 bytes each) that one task reads."""
 PART_SHINGLES = 2_000_000
 """Shingles of a component that one task compares with as many others at most."""
-PIVOT_BYTES = 64 << 20
+PIVOT_BYTES = 8 << 20
 """Up to so many bytes of shingles of the components' roots are broadcast."""
 BROADCAST_IDS = 250_000
 """Up to so many ids are broadcast (16 bytes each); beyond that tables are joined by id."""

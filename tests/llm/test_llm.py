@@ -835,8 +835,9 @@ def test_verified_links_connect(spark, monkeypatch):
             comp = new
 
     want = least([(a, b) for a in sets for b in sets if a < b and near(a, b)])
-    for part in (simhash.PART_SHINGLES, 300):
+    for part, pivots in ((simhash.PART_SHINGLES, simhash.PIVOT_BYTES), (300, 0)):
         monkeypatch.setattr(simhash, "PART_SHINGLES", part)
+        monkeypatch.setattr(simhash, "PIVOT_BYTES", pivots)
         links = [(r["a"], r["b"]) for r in simhash.verified_links(members, 0.8).collect()]
         assert least(links) == want
     assert len(set(want.values())) > 7
