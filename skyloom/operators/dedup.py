@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType
 
 from skyloom.operators.relational import first_per_key
 from skyloom.session import cut
@@ -52,9 +51,89 @@ def common_subsequences(earlier: list[str], later: list[str]) -> np.ndarray:
     return sum(63 - np.bitwise_count(r).astype(np.int64) for r in rows)
 
 
-@F.pandas_udf(DoubleType())
-def title_similarity(earlier: pd.Series, later: pd.Series) -> pd.Series:
-    return pd.Series([similarity((a or "").lower(), (b or "").lower()) for a, b in zip(earlier, later)], dtype="float64")
+BLOCK, BLOCKS, LARGEST_BLOCK = 2048, 64, 32768
+"""Titles of a block; more where a band would have more than BLOCKS blocks, up to LARGEST_BLOCK."""
+_WIDTH, _CELLS, _MASKS = 256, 1 << 15, 1 << 23
+"""Titles of the one list in a tile, pairs of a tile and words of its masks, at most."""
+
+
+def possible_pairs(one: list[str], other: list[str], threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs, one of each list, whose longest common subsequence leaves the similarity possible; of the pairs
+    of a list with itself (other is one) each once.
+
+    Bit-parallel over the characters of a title, 63 bits a word, and array-parallel over the pairs of a tile.
+    """
+    own, theirs = np.array([len(s) for s in one], np.int64), np.array([len(s) for s in other], np.int64)
+    order, across = np.argsort(own, kind="stable"), np.argsort(theirs, kind="stable")  # titles of a tile are of like length
+    nx, ny = own[order], theirs[across]
+    x, y = _letters([one[i] for i in order]), _letters([other[i] for i in across])
+    alphabet = np.unique(x[x >= 0])
+    x, y = _codes(x, alphabet), _codes(y, alphabet)
+    found, at = [(np.empty(0, np.int64), np.empty(0, np.int64))], 0
+    while at < len(order):
+        width = _WIDTH
+        while width > 1 and -(-int(nx[at : at + width][-1]) // 63) * (len(alphabet) + 1) * width > _MASKS:
+            width //= 2
+        sizes = nx[at : at + width]
+        words = max(1, -(-int(sizes[-1]) // 63))
+        masks = np.zeros((words, len(alphabet) + 1, len(sizes)), np.uint64)  # the last character is one that no title of these has
+        for i in range(int(sizes[-1])):
+            masks[i // 63, x[at : at + width, i], np.arange(len(sizes))] |= np.uint64(1 << i % 63)
+        masks[:, -1] = 0
+        height = max(1, _CELLS // (len(sizes) * words))
+        for down in range(at if other is one else 0, len(across), height):
+            beside = ny[down : down + height]
+            short, long_ = min(sizes[-1], beside[-1]), max(sizes[0], beside[0])
+            if 2 * short < threshold * (short + long_) - 1e-9:  # too unlike in length
+                continue
+            common = _common(masks, np.ascontiguousarray(y[down : down + height, : beside[-1]].T, np.intp))
+            r, c = np.nonzero(2 * common >= threshold * (beside[:, None] + sizes[None, :]) - 1e-9)
+            if other is one:
+                r, c = r[(once := down + r > at + c)], c[once]
+            found.append((order[at + c], across[down + r]))
+        at += width
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _letters(titles: list[str]) -> np.ndarray:
+    """A row of code points for each title, -1 after its end."""
+    width = max(map(len, titles), default=0)
+    if not width:
+        return np.empty((len(titles), 0), np.int32)
+    out = np.array(titles, f"U{width}").view(np.int32).reshape(len(titles), width).copy()
+    out[np.arange(width)[None, :] >= np.array([len(t) for t in titles])[:, None]] = -1
+    return out
+
+
+def _codes(letters: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """The letters' places in the alphabet, its length for others."""
+    at = np.searchsorted(alphabet, letters).astype(np.int32)
+    if len(alphabet):
+        at[alphabet[np.minimum(at, len(alphabet) - 1)] != letters] = len(alphabet)
+    return at
+
+
+def _common(masks: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of the titles in masks with those in codes."""
+    words, full = len(masks), np.uint64((1 << 63) - 1)
+    shape = (codes.shape[1], masks.shape[2])
+    rows, hit = [np.full(shape, full) for _ in range(words)], np.empty(shape, np.uint64)
+    carry = np.zeros(shape, np.uint64)
+    for code in codes:
+        for w, row in enumerate(rows):
+            np.take(masks[w], code, axis=0, out=hit, mode="clip")
+            hit &= row
+            row ^= hit
+            hit += hit
+            if w:
+                hit += carry  # below 2**64 with the row, as both are below 2**63
+            hit += row
+            if w + 1 < words:
+                np.right_shift(hit, np.uint64(63), out=carry)
+            row |= hit
+            if words > 1:
+                row &= full
+    return sum(63 - np.bitwise_count(r & full).astype(np.int64) for r in rows)
 
 
 def alike_pairs(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -62,32 +141,52 @@ def alike_pairs(titles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     2 * matches / (la + lb) >= t needs min / max >= t / (2 - t), so lengths are dealt to bands of that ratio and a title
     meets its own band and the next; matching characters form a common subsequence, so its greatest length bounds the
-    matches. Both are exact.
+    matches. Both are exact. Bands are dealt to blocks, and a task compares two blocks: pairs are rows only once they are
+    found alike.
     """
     ratio = threshold / (2 - threshold)
     low = titles.select("seq", F.coalesce("lang", F.lit("")).alias("lang"), F.lower(F.coalesce("title", F.lit(""))).alias("title"))
-    low = low.withColumn("n", F.char_length("title")).withColumn("band", F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / math.log(1 / ratio))).otherwise(-10))
-    near = low.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") - 1)))
-    a, b = low.alias("a"), near.alias("b")
-    short, long_ = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    pairs = a.join(b, (F.col("a.lang") == F.col("b.lang")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.seq") < F.col("b.seq")) & (short >= F.lit(ratio) * long_ - 1e-9))
-    pairs = pairs.select(F.col("a.seq").alias("earlier"), F.col("b.seq").alias("later"), F.col("a.title").alias("x"), F.col("b.title").alias("y"))
-    return pairs.where(_alike(threshold)("x", "y")).select("earlier", "later")
-
-
-def _alike(threshold: float):
-    @F.pandas_udf(BooleanType())
-    def alike(earlier: pd.Series, later: pd.Series) -> pd.Series:
-        out = np.zeros(len(earlier), bool)
-        for i in range(0, len(out), 4096):
-            a, b = earlier.iloc[i : i + 4096].tolist(), later.iloc[i : i + 4096].tolist()
-            size = np.array([len(x) + len(y) for x, y in zip(a, b)])
-            possible = 2 * common_subsequences(a, b) >= threshold * size - 1e-9
-            for j in np.flatnonzero(possible):
-                out[i + j] = similarity(a[j], b[j]) >= threshold
-        return pd.Series(out)
-
-    return alike
+    n = F.char_length("title").cast("double")
+    low = low.withColumn("band", F.when(n > 0, F.floor(F.log(n) / math.log(1 / ratio))).otherwise(-10))
+    size = F.least(F.greatest(F.lit(BLOCK), F.ceil(F.col("n") / BLOCKS)), F.lit(LARGEST_BLOCK))
+    counts = cut(low.groupBy("lang", "band").agg(F.count("*").alias("n")).select("lang", "band", F.ceil(F.col("n") / size).cast("int").alias("own")))  # one row a band
+    beside = lambda step, name: counts.select("lang", (F.col("band") + step).alias("band"), F.col("own").alias(name))
+    bands = counts.join(beside(-1, "longer"), ["lang", "band"], "left").join(beside(1, "shorter"), ["lang", "band"], "left")
+    tasks = bands.agg(F.sum(F.col("own") * (F.col("own") + 1) / 2 + F.col("own") * F.coalesce("longer", F.lit(0)))).first()[0] or 1
+    block = F.pmod(F.xxhash64("title", "seq"), F.col("own")).cast("int")
+    upto = lambda c: F.when(c > 0, F.sequence(F.lit(0), c - 1)).otherwise(F.array().cast("array<int>"))
+    meet = lambda a, i, b, j: F.struct(a.alias("a"), i.alias("i"), b.alias("b"), j.alias("j"))
+    band, own = F.col("band"), F.col("block")
+    tiles = F.concat(
+        F.transform(upto(F.col("own")), lambda j: meet(band, F.least(own, j), band, F.greatest(own, j))),
+        F.transform(upto(F.col("longer")), lambda j: meet(band, own, band + 1, j)),
+        F.transform(upto(F.col("shorter")), lambda j: meet(band - 1, j, band, own)),
+    )
+    dealt = low.join(F.broadcast(bands), ["lang", "band"]).withColumn("block", block)
+    dealt = dealt.select("seq", "lang", "title", "band", "block", F.explode(tiles).alias("tile"))
+    dealt = dealt.repartition(int(min(tasks, 4096)), "lang", "tile")
+
+    def alike(rows: pd.DataFrame) -> pd.DataFrame:
+        tile = rows["tile"].iloc[0]
+        first = (rows["band"] == tile["a"]) & (rows["block"] == tile["i"])
+        one = rows[first]
+        other = one if (tile["a"], tile["i"]) == (tile["b"], tile["j"]) else rows[~first]
+        s, t = one["seq"].tolist(), one["title"].tolist()
+        s2, t2 = (s, t) if other is one else (other["seq"].tolist(), other["title"].tolist())
+        found = ((s[i], t[i], s2[j], t2[j]) for i, j in zip(*possible_pairs(t, t2, threshold)))
+        ordered = sorted(((y, ty, x, tx) if x < y else (x, tx, y, ty) for x, tx, y, ty in found if x != y), key=lambda p: p[0])
+        out, matcher, prepared = [], difflib.SequenceMatcher(None), None
+        for y, later, x, earlier in ordered:
+            if y != prepared:  # what the matcher knows of its second text is kept for those that follow
+                matcher.set_seq2(later)
+                prepared = y
+            matcher.set_seq1(earlier)
+            if matcher.ratio() >= threshold:
+                out.append((x, y))
+        return pd.DataFrame(out, columns=["earlier", "later"])
+
+    kind = titles.schema["seq"].dataType.simpleString()
+    return dealt.groupBy("lang", "tile").applyInPandas(alike, f"earlier {kind}, later {kind}")
 
 
 def greedy_kept(rows: DataFrame, pairs: DataFrame, key: str = "seq") -> DataFrame:
@@ -113,8 +212,11 @@ def greedy_kept(rows: DataFrame, pairs: DataFrame, key: str = "seq") -> DataFram
 def dedup_batch(articles: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The articles that a batch keeps. articles: seq (arrival, unique), url_hash, lang, title and others.
 
-    A URL counts as seen even if its first article was dropped for its title.
+    A URL counts as seen even if its first article was dropped for its title. Of equal titles only the first can be kept:
+    it is alike to the others, and what drops it drops them. So only the first ones are compared.
     """
     first = first_per_key(articles, "url_hash", "seq")
-    kept = greedy_kept(first, alike_pairs(first.select("seq", "lang", "title"), threshold))
+    titles = first.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), F.lower(F.coalesce("title", F.lit(""))).alias("title")).agg(F.min("seq").alias("seq"))
+    titles = cut(titles)
+    kept = greedy_kept(titles, alike_pairs(titles, threshold))
     return first.join(kept, "seq", "left_semi")

@@ -113,6 +113,36 @@ def test_common_subsequence_bounds_the_matches():
         assert 2 * n >= dedup.similarity(a, b) * (len(a) + len(b)) - 1e-9
 
 
+@pytest.mark.parametrize("tile", [(256, 1 << 15, 1 << 23), (7, 64, 500)])
+def test_possible_pairs_are_those_of_the_bound(monkeypatch, tile):
+    for name, n in zip(("_WIDTH", "_CELLS", "_MASKS"), tile):
+        monkeypatch.setattr(dedup, name, n)
+    rng = random.Random(4)
+    texts = lambda n, sizes: ["".join(rng.choice("abcdé 谈\0") for _ in range(rng.choice(sizes))) for _ in range(n)]
+    one, two = texts(60, [0, 1, 5, 20, 62, 63, 64, 126, 127, 200]), texts(50, [0, 3, 63, 70, 140])
+    for other in (two, one):
+        pairs = [(i, j) for i in range(len(one)) for j in range(len(other)) if other is not one or i < j]
+        common = dedup.common_subsequences([one[i] for i, _ in pairs], [other[j] for _, j in pairs])
+        want = [p for p, n in zip(pairs, common) if 2 * n >= 0.6 * (len(one[p[0]]) + len(other[p[1]])) - 1e-9]
+        got = [(int(i), int(j)) for i, j in zip(*dedup.possible_pairs(one, other, 0.6))]
+        assert sorted((min(p), max(p)) if other is one else p for p in got) == want and want
+    assert len(dedup.possible_pairs([], [])[0]) == 0
+
+
+def test_dedup_compares_blocks_and_each_title_once(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK", 8)
+    rng, compared = random.Random(7), []
+    words = ["trade", "talks", "war", "peace", "chip", "curb", "vote", "flood"]
+    rows = [(i, f"u{i}", rng.choice(["en", None]), " ".join(rng.choices(words, k=rng.randint(0, 6)))) for i in range(150)]
+    rows += [(200 + i, f"v{i}", "en", "The same title, many times") for i in range(300)]
+    df = spark.createDataFrame(rows, "seq long, url_hash string, lang string, title string").repartition(3)
+    pairs = dedup.alike_pairs
+    monkeypatch.setattr(dedup, "alike_pairs", lambda titles, threshold: compared.append(titles.count()) or pairs(titles, threshold))
+    got = sorted(r["seq"] for r in dedup.dedup_batch(df).collect())
+    assert got == dedup_plain([(i, u, lang or "", t) for i, u, lang, t in rows])
+    assert compared == [len({(lang, t.lower()) for _, _, lang, t in rows})]
+
+
 def cluster_plain(rows):
     """Every article against every event, in order."""
     like = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
