@@ -57,6 +57,12 @@ def test_strip_html(spark):
     assert values(spark, text.strip_html, ["<p>a &amp; b</p>", " x\n\t<br/>y ", None]) == ["a & b", "x y", ""]
 
 
+def test_strip_html_leaves_references_without_an_end(spark):
+    texts = ["a &amp;&amp;&amp</title> b", "&ampx; &copy; &#65; &#x42; &#67 &amp;lt; &none;"]
+    assert values(spark, lambda c: text.strip_html(c, unended=False), texts) == ["a &&&amp b", "&ampx; © A B &#67 &lt; &none;"]
+    assert values(spark, text.strip_html, texts[:1]) == ["a &&& b"]
+
+
 def test_sentences(spark):
     got = values(spark, lambda c: text.sentences(c, 2), ["First one. Second! Third?", "第一句。第二句。", "", "x" * 500])
     assert got == [["First one.", "Second!"], ["第一句。第二句。"], [], ["x" * 220]]
