@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,16 @@ def test_sentences(spark):
     assert got == [["First one.", "Second!"], ["第一句。第二句。"], [], ["x" * 220]]
 
 
+def test_normal_forms_by_slices(spark):
+    texts = pa.array(["Éa ", None, "ﬁ"] * 300)
+    for some in (texts, texts.slice(1, 257), texts.slice(0, 0)):
+        assert text._by_slices(some, text.normalized, pa.string()).to_pylist() == [text.normalized(t) for t in some.to_pylist()]
+    some = ["", " A\tb\x1c\x1f\nC ", "STRASSE Straße", "“a” ‘b’ –", "ﬁne…", "e\u0301", "a\xa0b", "ΑΣ", "外交部　发言", None]
+    assert values(spark, text.normalize_text, some) == [text.normalized(t) for t in some]
+    df = spark.createDataFrame([(1, some), (2, None), (3, [])], "i int, x array<string>")
+    assert [r[0] for r in df.orderBy("i").select(text.normalize_texts("x")).collect()] == [[text.normalized(t) for t in some], [], []]
+
+
 def test_spans(spark):
     def found(span, title, body):
         df = spark.createDataFrame([(span, title, body)], "s string, t string, b string")
