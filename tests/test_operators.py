@@ -190,6 +190,16 @@ def test_cluster_is_the_fold(spark):
     assert got == sorted(cluster_plain([(i, t, e, title.split()) for i, t, title, e in rows]))
 
 
+def test_sessions_are_folded_in_many_tasks(spark, monkeypatch):
+    parts, cut = [], cluster.checkpointed
+    monkeypatch.setattr(cluster, "checkpointed", lambda df: parts.append(df.rdd.getNumPartitions()) or cut(df))
+    rows = [(i, NOW + dt.timedelta(hours=100 * (i // 3)), "same title words here", "", ["A"]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, published_at timestamp, title string, content_text string, entities array<string>")
+    got = sorted((r["id"], r["cluster_id"]) for r in cluster.cluster_articles(df).collect())
+    assert got == [(i, i // 3 + 1) for i in range(60)]
+    assert parts == [int(spark.conf.get("spark.sql.shuffle.partitions"))]  # not merged for their few bytes
+
+
 def test_window_is_72_hours(spark):
     def n(hours):
         rows = [(1, NOW, "same title words here", "", []), (2, NOW + hours, "same title words here", "", [])]
