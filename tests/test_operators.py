@@ -308,6 +308,18 @@ def test_recall(spark):
     assert {r["prior_id"] for r in got} == {1, 5, 7} and got[0]["prior_id"] == 1 and got[0]["shared_entities"] == ["俄罗斯", "美国"]
 
 
+def test_recall_prepares_only_targets_near_in_time(spark, monkeypatch):
+    prepared, cut = [], lineage.cut
+    monkeypatch.setattr(lineage, "cut", lambda df: prepared.append(out := cut(df)) or out)
+    days = [-300, -11.001, -11, -10.5, 0, 100, 169.9, 170, 170.001, 400]
+    targets = spark.createDataFrame([story(20 + i, "Sanctions on Russia widen", "diplomacy", d, ["美国"]) for i, d in enumerate(days)], STORY)
+    past = spark.createDataFrame([story(1, "Envoys meet", "diplomacy", -10, ["美国"])], STORY)
+    got = lineage.recall(targets, past, 6, 180)
+    assert sorted(r["target_id"] for r in got.collect()) == list(range(22, 28))
+    assert [df.count() for df in prepared] == [1, 6]
+    assert lineage.recall(targets, past.limit(0), 6, 180).isEmpty()
+
+
 def test_trace_by_rule(spark):
     target = spark.createDataFrame([story(9, "Missile strike widens", "military", 0, ["美国", "俄罗斯"], 1.8)], STORY)
     past = spark.createDataFrame([story(1, "Troops gather near border", "military", -10, ["俄罗斯", "美国"], 1.4)], STORY)
