@@ -320,6 +320,15 @@ def test_recall_prepares_only_targets_near_in_time(spark, monkeypatch):
     assert lineage.recall(targets, past.limit(0), 6, 180).isEmpty()
 
 
+def test_those_with_an_id(spark, monkeypatch):
+    df, ids = spark.range(20), spark.createDataFrame([(3,), (3,), (5,), (None,), (99,)], "id long")
+    for named, broadcast in ((2000, 10_000), (0, 10_000), (0, 0)):
+        monkeypatch.setattr(lineage, "NAMED", named)
+        monkeypatch.setattr(lineage, "BROADCAST_PAST", broadcast)
+        assert sorted(r[0] for r in lineage._those(df, ids).collect()) == [3, 5]
+        assert named == 0 or lineage._those(df, ids.limit(0)).isEmpty()
+
+
 def test_trace_by_rule(spark):
     target = spark.createDataFrame([story(9, "Missile strike widens", "military", 0, ["美国", "俄罗斯"], 1.8)], STORY)
     past = spark.createDataFrame([story(1, "Troops gather near border", "military", -10, ["俄罗斯", "美国"], 1.4)], STORY)
