@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pyarrow as pa
 import pytest
@@ -48,6 +49,37 @@ def test_entities(spark):
     assert values(spark, text.extract_entities, rows) == [["美国", "中国"], ["俄罗斯", "乌克兰"], ["联合国"], [], []]
 
 
+ODD = ["The U.S. and Us", "u.s.a", "xu.s. U.S.", "us", "\u212aeys keys", "a\u0130r", "\U0001d400us \U0001d400", "éus", "us_us", "东us京 KEYS", "", None, "9us us9", "u.s", "USES used using", "white  house", "White House's", "trade1 2talks the3 a"]
+
+
+def test_token_words_are_the_token_set(spark):
+    rows = ["中美 talks 谈判 the 3中 talks", *ODD]
+    assert [set(t) for t in values(spark, text.token_set, rows)] == [text.token_words(r or "") for r in rows]
+
+
+@pytest.mark.parametrize("limit", [1, 12])
+def test_entities_are_those_of_the_patterns(spark, limit):
+    table = (("us", ("US", "U.S.", "white house")), ("key", ("keys", "air", "i")), ("none", ("absent",)), ("east", ("东", "京", "used")))
+
+    def plain(t):
+        whole = lambda a: re.search(f"(?<![a-z0-9]){re.escape(a.lower())}(?![a-z0-9])", t.lower()) if a.isascii() else a in t
+        return [name for name, aliases in table if any(whole(a) for a in aliases)][:limit]
+
+    got = values(spark, lambda c: text.extract_entities(c, limit, table), ODD)
+    assert got == [plain(t or "") for t in ODD] and any(got)
+
+
+def test_entities_try_no_pattern(spark):
+    plan = spark.range(1).select(text.extract_entities(F.col("id").cast("string")))._jdf.queryExecution().toString()
+    assert "RLIKE" not in plan.upper()
+
+
+def test_keyword_hits(spark):
+    words = ("us", "key", "东", "und")
+    rows = ["und Und", "under und", "KEYS us", "keyed und used", "usual", "东us", "东 us key und", "", None]
+    assert values(spark, lambda c: text.keyword_hits(c, words), rows) == [1, 1, 2, 3, 0, 1, 4, 0, 0]
+
+
 @pytest.mark.parametrize(("a", "b", "want"), [(["a", "b"], ["a", "b"], 1.0), ([], ["a"], 0.0), (["a", "b"], ["b", "c"], 1 / 3)])
 def test_jaccard(spark, a, b, want):
     df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")

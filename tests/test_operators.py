@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -178,6 +179,23 @@ def test_fold_with_an_index(in_order):
     assert [(i, fold.add(t, set(e), set(k)) + 1) for i, t, e, k in sorted(rows, key=lambda r: (r[1], r[0]))] == plain and len({n for _, n in plain}) > 20
 
 
+def test_fold_compares_what_can_draw(monkeypatch):
+    """Events that share an entity and a few tokens are counted, not compared, and forgotten after the window."""
+    compared, strength = [], cluster.Fold.strength
+    monkeypatch.setattr(cluster.Fold, "strength", lambda self, *a: compared.append(1) or strength(self, *a))
+    fold = cluster.Fold(in_order=True)
+    rows = [(NOW + dt.timedelta(hours=i), {"A"}, {"common", *(f"w{i}-{j}" for j in range(9))}) for i in range(200)]
+    assert [fold.add(*r) for r in rows] == list(range(200)) and not compared
+    assert len(fold.by_token["common"]) == len(fold.by_entity["A"]) == sum(e is not None for e in fold.events) == 73
+    assert fold.add(rows[199][0], {"A"}, rows[150][2]) == 150 and len(compared) == 1
+
+
+@pytest.mark.parametrize("in_order", [True, False])
+def test_articles_without_a_time_stand_alone(in_order):
+    fold = cluster.Fold(72, in_order=in_order)
+    assert [fold.add(t, {"A", "B"}, {"same", "words"}) for t in (math.nan, math.nan, 1, 2, math.nan, 3)] == [0, 1, 2, 2, 3, 2]
+
+
 def test_cluster_is_the_fold(spark):
     rng = random.Random(1)
     words = [a + b for a in ("tra", "wa", "pea", "chi") for b in ("de", "ce", "ps", "rs")]
